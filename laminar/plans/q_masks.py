@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import components as C
 from ..operators import runs as R
+from ..session import cut_lineage
 from . import fixtures as fx
 from .fixtures import SIDE
 from .oracle import Steps
@@ -29,12 +30,12 @@ def digest(runs: DataFrame) -> DataFrame:
 def leaves(spark, sf, **layers):
     """Leaf rasters as named run layers plus their frames."""
     px = fx.leaf_px(spark, sf)
-    named = R.to_runs(px, {k: F.expr(v) for k, v in layers.items()})
+    named = cut_lineage(R.to_runs(px, {k: F.expr(v) for k, v in layers.items()}))
     return named, fx.leaf_frames(spark, sf)
 
 
 def tissue(spark, sf):
-    return R.to_runs(fx.leaf_px(spark, sf).where("tissue = 1")), fx.leaf_frames(spark, sf)
+    return cut_lineage(R.to_runs(fx.leaf_px(spark, sf).where("tissue = 1"))), fx.leaf_frames(spark, sf)
 
 
 # --- pixels and runs -------------------------------------------------------
