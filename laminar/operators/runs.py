@@ -214,7 +214,7 @@ def frame_runs(frames: DataFrame) -> DataFrame:
 
 
 def _frames_for(runs: DataFrame, frames: DataFrame) -> DataFrame:
-    """Repeat frames for extra keys (layers, fragments) the runs carry."""
+    """Repeat frames for extra keys (layers, thresholds, sizes) the runs carry."""
     keys = keys_of(runs)
     fkeys = [c for c in frames.columns if c not in ("h", "w")]
     if set(keys) == set(fkeys):
@@ -222,23 +222,52 @@ def _frames_for(runs: DataFrame, frames: DataFrame) -> DataFrame:
     return frames.join(runs.select(*keys).distinct(), fkeys).select(*keys, "h", "w")
 
 
+def _with_marks(runs: DataFrame, frames: DataFrame) -> DataFrame:
+    """Runs plus one empty marker per scan line of the picture.
+
+    The marker stands at the right edge and carries the width, so clipping
+    to the picture happens inside the scan-line window and needs no join.
+    """
+    keys = keys_of(runs)
+    marks = frame_runs(_frames_for(runs, frames)).select(*keys, "y", F.col("x1").alias("x0"), "x1", F.col("x1").alias("_w"))
+    return runs.select(*keys, *SPAN, F.lit(None).cast("int").alias("_w")).unionByName(marks)
+
+
 def mask_not(runs: DataFrame, frames: DataFrame) -> DataFrame:
     """Complement inside the frame; scan lines without any run become full.
 
-    One empty marker run per scan line stands at the right edge, so every
-    gap lies between a run and whatever ended before it.
+    Every gap lies between a run (or the right-edge marker) and whatever
+    ended before it.  Runs may overlap or stick out of the picture.
     """
     keys = keys_of(runs)
-    marks = frame_runs(_frames_for(runs, frames)).select(*keys, "y", F.col("x1").alias("x0"), "x1")
-    line = W.partitionBy(*_line(keys)).orderBy("x0", "x1")
+    line = W.partitionBy(*_line(keys)).orderBy("x0")
     seen = F.max("x1").over(line.rowsBetween(W.unboundedPreceding, -1))
+    width = F.max("_w").over(line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     return (
-        runs.select(*keys, *SPAN)
-        .unionByName(marks)
-        .select(*keys, "y", F.coalesce(seen, F.lit(0)).alias("_from"), F.col("x0").alias("_to"))
-        .where("_to > _from")
-        .select(*keys, "y", F.col("_from").alias("x0"), F.col("_to").alias("x1"))
+        _with_marks(runs, frames)
+        .select(*keys, "y", F.greatest(F.coalesce(seen, F.lit(0)), F.lit(0)).alias("_from"), "x0", width.alias("_width"))
+        .select(*keys, "y", F.col("_from").alias("x0"), F.least("x0", "_width").alias("x1"), "_width")
+        .where("_width is not null and x1 > x0")
+        .select(*keys, *SPAN)
+    )
+
+
+def _merge_in_frame(runs: DataFrame, frames: DataFrame) -> DataFrame:
+    """``merge`` that also cuts the runs to the picture."""
+    keys = keys_of(runs)
+    line = W.partitionBy(*_line(keys)).orderBy("x0")
+    end = F.when(F.col("_w").isNull(), F.col("x1"))
+    seen = F.max(end).over(line.rowsBetween(W.unboundedPreceding, -1))
+    whole = line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    opens = (
+        _with_marks(runs, frames)
+        .select(*keys, "y", "x0", "_w", seen.alias("_seen"), F.max(end).over(whole).alias("_all"), F.max("_w").over(whole).alias("_width"))
+        .where("_w is null and _width is not null and (_seen is null or x0 > _seen)")
     )
+    ends = F.coalesce(F.lead("_seen").over(line), F.col("_all"))
+    return opens.select(
+        *keys, "y", F.greatest("x0", F.lit(0)).alias("x0"), F.least(ends, F.col("_width")).alias("x1")
+    ).where("x1 > x0")
 
 
 def clip_to_frame(runs: DataFrame, frames: DataFrame) -> DataFrame:
@@ -350,48 +379,56 @@ def ellipse_rows_expr(radius: str) -> Column:
 # --------------------------------------------------------------------------
 
 
-def dilate(
-    runs: DataFrame,
-    kernel: Sequence[tuple[int, int, int]] | Column,
-    frames: DataFrame,
-    iterations: int = 1,
-    drop: Sequence[str] = (),
-) -> DataFrame:
-    """Spread every run by the kernel rows, then merge once per iteration.
+def compose(kernel: Sequence[tuple[int, int, int]], times: int) -> list[tuple[int, int, int]]:
+    """One kernel doing the work of ``times`` passes.
 
-    ``kernel`` may be a Column of row structs, so each leaf can have its own
-    size; ``drop`` lists columns that only carried that size.
+    Exact for kernels whose rows shrink away from the centre: every combined
+    step then splits into steps that stay inside the picture.
     """
+    rows = {dy: (lo, hi) for dy, lo, hi in kernel}
+    total = dict(rows)
+    for _ in range(times - 1):
+        nxt: dict[int, tuple[int, int]] = {}
+        for a, (alo, ahi) in total.items():
+            for b, (blo, bhi) in rows.items():
+                lo, hi = nxt.get(a + b, (-1, -1))
+                nxt[a + b] = (max(lo, alo + blo), max(hi, ahi + bhi))
+        total = nxt
+    return [(dy, lo, hi) for dy, (lo, hi) in sorted(total.items())]
+
+
+def _spread(runs: DataFrame, kernel: Sequence[tuple[int, int, int]] | Column) -> DataFrame:
+    """Every run moved and widened by every kernel row; not merged yet."""
     rows = kernel if isinstance(kernel, Column) else _kernel_array(kernel)
-    out = runs
-    for step in range(iterations):
-        last = step == iterations - 1
-        keys = keys_of(out)
-        kept = [k for k in keys if not (last and k in drop)]
-        spread = out.select(*keys, *SPAN, F.explode(rows).alias("_k")).select(
-            *kept,
-            (F.col("y") + F.col("_k.dy")).cast("int").alias("y"),
-            (F.col("x0") - F.col("_k.left")).cast("int").alias("x0"),
-            (F.col("x1") + F.col("_k.right")).cast("int").alias("x1"),
-        )
-        out = merge(clip_to_frame(spread, frames))
-    return out
+    keys = keys_of(runs)
+    return runs.select(*keys, *SPAN, F.explode(rows).alias("_k")).select(
+        *keys,
+        (F.col("y") + F.col("_k.dy")).cast("int").alias("y"),
+        (F.col("x0") - F.col("_k.left")).cast("int").alias("x0"),
+        (F.col("x1") + F.col("_k.right")).cast("int").alias("x1"),
+    )
+
+
+def _times(kernel, iterations: int):
+    return kernel if iterations == 1 or isinstance(kernel, Column) else compose(kernel, iterations)
 
 
-def erode(
-    runs: DataFrame,
-    kernel: Sequence[tuple[int, int, int]],
-    frames: DataFrame,
-    iterations: int = 1,
-) -> DataFrame:
+def dilate(runs: DataFrame, kernel: Sequence[tuple[int, int, int]] | Column, frames: DataFrame, iterations: int = 1) -> DataFrame:
+    """Spread every run by the kernel rows and merge, in one shuffle.
+
+    Repeated passes are folded into one larger kernel.  ``kernel`` may be a
+    Column of row structs, so each leaf can have its own size.
+    """
+    return _merge_in_frame(_spread(runs, _times(kernel, iterations)), frames)
+
+
+def erode(runs: DataFrame, kernel: Sequence[tuple[int, int, int]] | Column, frames: DataFrame, iterations: int = 1) -> DataFrame:
     """Erosion as the complement of dilating the complement.
 
     Pixels beyond the picture are ignored, so a mask touching the border is
     not eaten from there.
     """
-    outside = mask_not(runs, frames)
-    grown = dilate(outside, kernel, frames, iterations)
-    return combine({"_m": runs, "_g": grown}, "_m and not _g")
+    return mask_not(_spread(mask_not(runs, frames), _times(kernel, iterations)), frames)
 
 
 def morph_open(runs, kernel, frames, iterations: int = 1):
@@ -399,9 +436,16 @@ def morph_open(runs, kernel, frames, iterations: int = 1):
 
 
 def morph_close(runs, kernel, frames, iterations: int = 1):
-    grown = dilate(runs, kernel, frames, iterations)
-    out = erode(grown, kernel, frames, iterations)
-    return out
+    """Dilation, then erosion: two complements, two shuffles."""
+    k = _times(kernel, iterations)
+    return mask_not(_spread(mask_not(_spread(runs, k), frames), k), frames)
+
+
+def close_then_open(runs, kernel, frames, closes: int = 2, opens: int = 1):
+    """Closing followed by opening; the two erosions in the middle are one."""
+    grown_outside = mask_not(_spread(runs, _times(kernel, closes)), frames)
+    core = mask_not(_spread(grown_outside, compose(kernel, closes + opens)), frames)
+    return dilate(core, kernel, frames, opens)
 
 
 def dilate_square(runs, k, frames):
@@ -429,10 +473,7 @@ def close_adaptive(runs: DataFrame, frames: DataFrame, divisor: float = 12.0) ->
     sizes = area(runs, "_a").select(*keys, adaptive_radius("_a", divisor).alias("_r"))
     sized = runs.join(sizes, keys)
     big = sized.where("_r > 0")
-    grown = dilate(big, ellipse_rows_expr("_r"), frames)  # keeps _r as a key
-    outside = mask_not(grown, frames)
-    back = dilate(outside, ellipse_rows_expr("_r"), frames)
-    closed = combine({"_m": grown, "_g": back}, "_m and not _g").drop("_r")
+    closed = morph_close(big, ellipse_rows_expr("_r"), frames).drop("_r")  # _r travels as a key
     return closed.unionByName(sized.where("_r = 0").drop("_r"))
 
 

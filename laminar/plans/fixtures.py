@@ -7,8 +7,6 @@ work of a query grows with its input.  Each builder has a DuckDB twin in
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,14 +48,21 @@ _LAYERS = """
 
 
 def leaf_px(spark: SparkSession, sf_dir: str, n: int = SIDE) -> DataFrame:
-    """One n x n leaf per part: silhouette, hole, open bite, scraped patch, pellet."""
+    """One n x n leaf per part: silhouette, hole, open bite, scraped patch, pellet.
+
+    The finished row is unfolded from a one-element array, so its columns
+    are plain values for the plan above, as if read from a pixel table;
+    otherwise every pushed-down filter would repeat the drawing formulas.
+    """
     seed = spread(table(spark, sf_dir, "part").selectExpr(*_leaf_seed(n)), "leaf_id")
     grid = seed.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(
         "x", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     )
-    body = [e.strip() for e in _split(_leaf_body(n))]
-    shaped = grid.selectExpr("leaf_id", "y", "x", "k", *body)
-    return shaped.selectExpr("leaf_id", "y", "x", "k", "sil", "hole", "dmg", "frass", "bite", *_split(_LAYERS), *_split(_COLOURS))
+    shaped = grid.selectExpr("leaf_id", "y", "x", "k", *_split(_leaf_body(n)))
+    drawn = shaped.selectExpr(
+        "leaf_id", "y", "x", "k", "sil", "hole", "dmg", "frass", "bite", *_split(_LAYERS), *_split(_COLOURS)
+    )
+    return drawn.select(F.inline_outer(F.array(F.struct(*drawn.columns))))
 
 
 def _split(sql: str) -> list[str]:

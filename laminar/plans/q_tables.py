@@ -113,11 +113,11 @@ def rounding_and_casts(spark, sf):
 
 @query(
     """select o_orderkey, case when o_orderkey%3=0 then concat('P',o_orderkey,'  |  Damage: ',printf('%.3f',(o_orderkey%1000)/8.0::double),'%')
- else concat('P',o_orderkey, chr(10),'Damage: ',printf('%.3f',(o_orderkey%1000)/8.0::double),'%  |  ',printf('%.2f',(o_orderkey%977)*0.003::double),' cm²') end title from orders"""
+ else concat('P',o_orderkey, chr(10),'Damage: ',printf('%.3f',(o_orderkey%1000)/8.0::double),'%  |  ',printf('%.2f',(o_orderkey%977)*0.0031417::double),' cm²') end title from orders"""
 )
 def damage_titles(spark, sf):
     o = table(spark, sf, "orders")
-    scale = F.when(F.col("o_orderkey") % 3 != 0, F.lit(0.003))
+    scale = F.when(F.col("o_orderkey") % 3 != 0, F.lit(0.0031417))
     return o.select("o_orderkey", Q.damage_title(F.concat(F.lit("P"), "o_orderkey"), (F.col("o_orderkey") % 1000) / 8.0, F.col("o_orderkey") % 977, scale).alias("title"))
 
 

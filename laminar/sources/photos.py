@@ -25,25 +25,28 @@ def list_files(spark: SparkSession, folder: str, content: bool = False) -> DataF
 def magic(content="content") -> Column:
     """True format of a file from its first 32 bytes, null when unknown."""
     c = F.col(content) if isinstance(content, str) else content
-    head = F.hex(F.substring(c, 1, 32))
-
-    def starts(text: str, at: int = 0) -> Column:
-        return F.substring(head, 2 * at + 1, len(text)) == text
 
     def ascii_hex(s: str) -> str:
         return s.encode().hex().upper()
 
-    brand = F.substring(head, 17, 8).isin(*[ascii_hex(b) for b in HEIF_BRANDS])
-    return (
-        F.when(F.length(head) < 8, None)
-        .when(starts("FFD8FF"), "JPEG")
-        .when(starts("89504E470D0A1A0A"), "PNG")
-        .when(starts(ascii_hex("GIF87a")) | starts(ascii_hex("GIF89a")), "GIF")
-        .when(starts("49492A00") | starts("4D4D002A"), "TIFF")
-        .when(starts("424D"), "BMP")
-        .when(starts(ascii_hex("RIFF")) & starts(ascii_hex("WEBP"), 8), "WEBP")
-        .when(starts(ascii_hex("ftyp"), 4) & brand, "HEIF")
-    )
+    def sniff(head: Column) -> Column:
+        def starts(text: str, at: int = 0) -> Column:
+            return F.substring(head, 2 * at + 1, len(text)) == text
+
+        brand = F.substring(head, 17, 8).isin(*[ascii_hex(b) for b in HEIF_BRANDS])
+        return (
+            F.when(F.length(head) < 8, None)
+            .when(starts("FFD8FF"), "JPEG")
+            .when(starts("89504E470D0A1A0A"), "PNG")
+            .when(starts(ascii_hex("GIF87a")) | starts(ascii_hex("GIF89a")), "GIF")
+            .when(starts("49492A00") | starts("4D4D002A"), "TIFF")
+            .when(starts("424D"), "BMP")
+            .when(starts(ascii_hex("RIFF")) & starts(ascii_hex("WEBP"), 8), "WEBP")
+            .when(starts(ascii_hex("ftyp"), 4) & brand, "HEIF")
+        )
+
+    # the lambda variable holds the header once, however often it is tested
+    return F.transform(F.array(F.hex(F.substring(c, 1, 32))), sniff)[0]
 
 
 def with_magic(files: DataFrame) -> DataFrame:
