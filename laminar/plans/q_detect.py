@@ -325,24 +325,7 @@ def partial_leaf_gentle(spark, sf):
     return digest(D.partial_mask(fx.leaf_px(spark, sf), fx.leaf_frames(spark, sf), gentle=True, max_height=SIDE))
 
 
-def _intact_sql():
-    s = _colour_steps()
-    lb = s.add(_LABSQL.format(src="hp"))
-    cut = s.add(
-        f"""select leaf_id, t from (select leaf_id, t, case when n1>0 and n1<n then ((s*n1-n*s1)::double*(s*n1-n*s1)::double)/(n1*(n-n1)) else -1 end sc from (
- select leaf_id, t, count(*) filter (lab_l<=t) n1, coalesce(sum(lab_l) filter (lab_l<=t),0) s1, count(*) n, sum(lab_l) s from (select leaf_id, lab_l from {lb}), (select unnest(range(0,256)) t) group by leaf_id, t))
- qualify row_number() over (partition by leaf_id order by sc desc, t)=1"""
-    )
-    m = s.add(f"select a.leaf_id,y,x,128-lab_a green from {lb} a join {cut} q using (leaf_id) where lab_l<=q.t and sat>15 and not (hue>90 and hue<150 and sat>40)")
-    c = s.comp_px(m)
-    best = s.add(
-        f"select leaf_id, comp from (select leaf_id, comp, sum(green) sc from {c} join {m} using (leaf_id,y,x) group by 1,2) qualify row_number() over (partition by leaf_id order by sc desc, comp)=1"
-    )
-    k = s.add(f"select c.leaf_id,c.y,c.x from {c} c join {best} using (leaf_id,comp)")
-    return s.digest(s.close(s.fill(k), R.ellipse_kernel(7), 2))
-
-
-@query(_intact_sql())
+@query()
 def intact_leaf(spark, sf):
     return digest(D.leaf_mask_intact(fx.leaf_px(spark, sf), fx.leaf_frames(spark, sf), max_height=SIDE))
 
