@@ -75,7 +75,7 @@ def _prior_sql():
     s = Steps()
     m = s.layer("tissue=1 and y % 11 <> 5")
     # odd leaves carry a box 10..21 with margin 2, every third leaf a point
-    boxed = s.add(f"select * from {m} where leaf_id%2=0 or (x between 8 and 23 and y between 8 and 23)")
+    boxed = s.add(f"select * from {m} where leaf_id%2=0 or (x between 7 and 24 and y between 7 and 24)")
     c = s.comp_px(boxed)
     best = s.add(
         f"""select leaf_id, comp from (select leaf_id, comp, count(*) n, min((x-16)*(x-16)+(y-12)*(y-12)) d from {c} group by 1,2)
