@@ -114,7 +114,7 @@ _STEPS = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))
 
 
 def _trace(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Border pixels of one leaf's single component in walking order."""
+    """Border pixels of one leaf's single component, down its left side first."""
     y, a, b = (pdf[c].to_numpy() for c in SPAN)
     oy, ox = y.min() - 1, a.min() - 1
     grid = np.zeros((y.max() - oy + 2, b.max() - ox + 2), dtype=bool)
@@ -123,8 +123,8 @@ def _trace(pdf: pd.DataFrame) -> pd.DataFrame:
     cy, cx = 1, int(np.argmax(grid[1]))
     path, facing, first = [(cx, cy)], 0, None
     while True:
-        for turn in range(8):  # look around, starting behind the left hand
-            d = (facing + 5 + turn) % 8
+        for turn in range(8):  # look around, starting behind the right hand
+            d = (facing + 3 - turn) % 8
             if grid[cy + _STEPS[d][1], cx + _STEPS[d][0]]:
                 break
         else:
