@@ -47,8 +47,8 @@ def to_runs(px: DataFrame, layers: dict[str, Column] | None = None, keys: Sequen
     keys = list(keys)
     named = layers is not None
     layers = layers or {"mask": F.lit(True)}
-    bit = F.expr(f"shiftleft(1L, cast(x % {WORD} as int))")
-    packed = px.groupBy(*keys, "y", F.expr(f"cast(x div {WORD} as int)").alias("_w")).agg(
+    bit = F.expr(f"shiftleft(1L, cast(x as int) & {WORD - 1})")
+    packed = px.groupBy(*keys, "y", F.expr("shiftright(cast(x as int), 5)").alias("_w")).agg(
         *[
             F.bit_or(F.when(cond, bit).otherwise(F.lit(0).cast("long"))).alias(f"_m{i}")
             for i, cond in enumerate(layers.values())
