@@ -316,15 +316,21 @@ def auto_brightness(
     """
     seeds = cut_lineage(brightness_seed(px, roi, hint, floor, ceiling))
     sweep = F.array_distinct(F.array(*[F.lit(t) for t in range(ceiling, floor - 1, -5)], F.col("seed")))
+    lowest = F.greatest(F.lit(floor), F.col("seed") - 45)
     levels = seeds.select("leaf_id", F.explode(sweep).alias("t"))
+    # the final clamp may land between sweep steps, so its level is evaluated too
+    probed = levels.unionByName(seeds.select("leaf_id", lowest.alias("t"))).distinct()
     flagged = P.with_hsv(px).where(~K.is_foliage()).withColumn("_m", F.least("r", "g", "b")).where(F.col("_m") >= floor)
-    bright_px = intersect_px(flagged.select("leaf_id", "y", "x", "_m"), roi).join(levels, "leaf_id").where("_m >= t")
-    bright = to_runs(bright_px, keys=("leaf_id", "t"))
-    foliage = cut_lineage(to_runs(P.with_hsv(px).where(K.is_foliage())))
+    bright_px = intersect_px(flagged.select("leaf_id", "y", "x", "_m"), roi).join(probed, "leaf_id").where("_m >= t")
+    bright = cut_lineage(to_runs(bright_px, keys=("leaf_id", "t")))
+    live = cut_lineage(probed.join(bright.select("leaf_id").distinct(), "leaf_id", "left_semi"))
+    foliage = to_runs(P.with_hsv(px).join(live.select("leaf_id").distinct(), "leaf_id", "left_semi").where(K.is_foliage()))
     inner = P.deeper_than(tissue_filled, frames, edge_band) if edge_band > 0 else roi
-    live = cut_lineage(levels.join(bright_px.select("leaf_id").distinct(), "leaf_id", "left_semi"))
     holes = cut_lineage(
-        white_holes(bright, _per_threshold(foliage, live), _per_threshold(inner, live), frames, min_area, max_height=max_height)
+        white_holes(
+            bright, _per_threshold(foliage, live), _per_threshold(inner, live), frames.join(live, "leaf_id"), min_area,
+            max_height=max_height,
+        )
     )
     areas = levels.join(area(holes), ["leaf_id", "t"], "left").fillna(0, ["area"]).join(area(roi, "roi_px"), "leaf_id").join(seeds, "leaf_id")
     order = W.partitionBy("leaf_id").orderBy(F.desc("t"))
@@ -339,16 +345,10 @@ def auto_brightness(
         F.max(F.when(~F.col("_stop"), F.col("_score"))).alias("_sc"),
     )
     chosen = F.when(F.col("_sc") >= -1.0, F.col("_t")).otherwise(F.col("seed"))
-    low = F.greatest(F.lit(floor), F.col("seed") - 45)
-    result = best.select("leaf_id", "seed", F.least(F.greatest(chosen, low), F.lit(ceiling)).cast("int").alias("brightness"))
-    # the clamp can land between sweep steps; those leaves are run once more
-    done = holes.join(result.select("leaf_id", F.col("brightness").alias("t")), ["leaf_id", "t"], "left_semi")
-    missing = result.select("leaf_id", F.col("brightness").alias("t")).join(levels, ["leaf_id", "t"], "left_anti")
-    again_px = bright_px.drop("t").distinct().join(missing, "leaf_id").where("_m >= t")
-    again = white_holes(
-        to_runs(again_px, keys=("leaf_id", "t")), _per_threshold(foliage, missing), _per_threshold(inner, missing), frames, min_area, max_height=max_height
-    )
-    return result, done.unionByName(again.select(*done.columns)).drop("t")
+    result = best.select("leaf_id", "seed", F.least(F.greatest(chosen, lowest), F.lit(ceiling)).cast("int").alias("brightness"))
+    result = cut_lineage(result)
+    found = holes.join(result.select("leaf_id", F.col("brightness").alias("t")), ["leaf_id", "t"], "left_semi")
+    return result, found.select("leaf_id", *SPAN)
 
 
 # --------------------------------------------------------------------------
@@ -403,8 +403,7 @@ def superficial(px: DataFrame, filled: DataFrame, roi: DataFrame, frames: DataFr
 
 def _contrast(px: DataFrame, frames: DataFrame, n: int) -> DataFrame:
     """Pixels with ``gray`` and ``drop``, n*n times the local darkening."""
-    g = P.with_hsv(px).withColumn("gray", K.gray())
-    g = cut_lineage(g)
+    g = P.settle(px.withColumns({**K.hsv_columns(), "gray": K.gray()}))
     return g.join(P.box_sum(g, frames, "gray", n, "_s"), ["leaf_id", "y", "x"]).withColumn(
         "drop", F.col("_s") - F.col("gray") * (n * n)
     )
