@@ -473,3 +473,53 @@ def bite_gaps(runs: DataFrame, frames: DataFrame, min_depth: float = 5.0, min_ar
         & ~((F.coalesce("_ex", F.lit(0)) / F.col("area") >= 0.45) & ~(off > 0.22 * F.col("wid")))
     )
     return C.keep(comp, j.where(ok))
+
+
+REFINE_MODES = ("raw", "mask", "closed", "hull", "complete", "perforated")
+
+
+def refine_leaf_mask(runs: DataFrame, frames: DataFrame, mode: str = "complete", erode_px: int = 1, open_px: int = 2,
+                     divisor: float = 12.0, min_ratio: float = 0.002, max_height: int | None = None) -> DataFrame:
+    """Leaf mask cleaned by mode, then reduced to its largest component.
+
+    ``raw`` and ``mask`` fill holes, ``closed`` adds the adaptive closing,
+    ``hull`` the convex hull, ``complete`` opens and erodes the closed mask,
+    ``perforated`` does so without filling holes.
+    """
+    from .runs import close_adaptive, erode, morph_open
+
+    if mode not in REFINE_MODES:
+        raise ValueError(f"mode must be one of {REFINE_MODES}, got {mode!r}")
+    keep_holes = mode == "perforated"
+    fill = (lambda m: m) if keep_holes else (lambda m: C.fill_holes(m, frames, max_height))
+    base = cut_lineage(fill(C.largest(runs, max_height)))
+    out = base
+    if mode in ("closed", "complete", "perforated", "hull"):
+        closed = close_adaptive(base, frames, divisor)
+        if mode == "hull":
+            closed = mask_or(convex_hull(base, max_height).select(*base.columns), closed, base)
+        out = fill(closed)
+    if mode in ("hull", "complete", "perforated"):
+        if open_px > 0:
+            out = morph_open(out, ellipse_kernel(2 * open_px + 1), frames)
+        if erode_px > 0:
+            out = erode(out, ellipse_kernel(2 * erode_px + 1), frames)
+        if mode != "hull":
+            out = fill(out)
+    out = C.remove_small(cut_lineage(out), frames, min_ratio, max_height=max_height)
+    return C.largest(out, max_height)
+
+
+def gap_severity(runs: DataFrame, frames: DataFrame, gaps: DataFrame | None = None, max_height: int | None = None) -> DataFrame:
+    """Missing share of the hull per leaf, and the number of confirmed gaps."""
+    hull = contour_lengths(hull_vertices(C.largest(runs, max_height)).withColumnRenamed("v", "i")).select("leaf_id", F.col("poly_area").alias("hull_area"))
+    j = area(runs).join(hull, "leaf_id").select(
+        "leaf_id",
+        F.when(F.col("hull_area") < 1, 0.0).otherwise(
+            F.least(F.greatest((F.col("hull_area") - F.col("area")) / F.col("hull_area"), F.lit(0.0)), F.lit(1.0))
+        ).alias("severity"),
+    )
+    if gaps is None:
+        return j
+    n = gaps.where("confirmed").groupBy("leaf_id").agg(F.count("*").alias("n_regions"))
+    return j.join(n, "leaf_id", "left").fillna(0, ["n_regions"]).withColumn("damaged", F.col("n_regions") > 0)

@@ -145,3 +145,28 @@ def budgeted_fill(spark, sf):
     )
     budget = table(spark, sf, "orders").select(F.col("o_orderkey").alias("leaf_id"), (30 + F.col("o_orderkey") % 50).alias("budget"))
     return G.budget_fill(cands, budget)
+
+
+def _refine_sql(holes):
+    s = Steps()
+    fill = (lambda m: m) if holes else s.fill
+    base = fill(s.largest(s.layer("tissue=1")))
+    big = s.add(f"select leaf_id from {base} group by 1 having count(*)>=50")
+    mb = s.add(f"select m.* from {base} m join {big} using (leaf_id)")
+    closed = s.both(s.close(mb, R.ellipse_kernel(17)), s.add(f"select fr.* from fr join {big} using (leaf_id)"))
+    small = s.add(f"select m.* from {base} m anti join {big} using (leaf_id)")
+    out = fill(s.either(closed, small))
+    out = fill(s.erode(s.open(out, R.ellipse_kernel(5)), R.ellipse_kernel(3)))
+    return s.digest(s.largest(out))
+
+
+@query(_refine_sql(False))
+def leaf_refine_complete(spark, sf):
+    t, fr = tissue(spark, sf)
+    return digest(G.refine_leaf_mask(t, fr, "complete", max_height=SIDE))
+
+
+@query(_refine_sql(True))
+def leaf_refine_perforated(spark, sf):
+    t, fr = tissue(spark, sf)
+    return digest(G.refine_leaf_mask(t, fr, "perforated", max_height=SIDE))

@@ -156,11 +156,10 @@ def _norm_sql():
     bg = s.add(
         f"""select h.leaf_id, y, x, r, g, b, case when (sqrt((r-pr)*(r-pr)+(g-pg)*(g-pg)+(b-pb)*(b-pb))<42 or (sat<55 and val>200)) and not (hue between 25 and 95 and sat>=28 and val>=20) then 1 else 0 end bg from hp h join {pc} using (leaf_id)"""
     )
-    soft = s.add(
-        f"""select a.leaf_id, a.y, a.x, any_value(a.r) r, any_value(a.g) g, any_value(a.b) b, round_even(sum(n.bg*255)/9.0::double,0)/255.0::double al
- from {bg} a, (select unnest(range(-1,2)) dy) oy, (select unnest(range(-1,2)) dx) ox, {bg} n where n.leaf_id=a.leaf_id
- and n.y=(case when a.y+dy<0 then 1 when a.y+dy>31 then 30 else a.y+dy end) and n.x=(case when a.x+dx<0 then 1 when a.x+dx>31 then 30 else a.x+dx end) group by a.leaf_id, a.y, a.x"""
-    )
+    refl = lambda v: f"(case when {v}<0 then 1 when {v}>31 then 30 else {v} end)"
+    rows = s.add(f"select a.leaf_id, a.y, a.x, sum(n.bg) s from {bg} a, (select unnest(range(-1,2)) d) o, {bg} n where n.leaf_id=a.leaf_id and n.y=a.y and n.x={refl('a.x+o.d')} group by 1,2,3")
+    boxed = s.add(f"select a.leaf_id, a.y, a.x, sum(n.s) s from {rows} a, (select unnest(range(-1,2)) d) o, {rows} n where n.leaf_id=a.leaf_id and n.x=a.x and n.y={refl('a.y+o.d')} group by 1,2,3")
+    soft = s.add(f"select p.leaf_id, p.y, p.x, r, g, b, round_even(s*255/9.0::double,0)/255.0::double al from {bg} p join {boxed} q using (leaf_id,y,x)")
     return s.select(
         f"""select leaf_id, sum(floor(r*(1.0-al)+255.0*al))::bigint r, sum(floor(g*(1.0-al)+255.0*al))::bigint g, sum(floor(b*(1.0-al)+255.0*al)*x)::bigint bx,
  (select round(avg(bg),4) from {bg} q where q.leaf_id=s.leaf_id) bg_fraction from {soft} s group by leaf_id"""
