@@ -212,7 +212,6 @@ def curvature(points: DataFrame, sigmas=(2.0, 8.0, 20.0)) -> DataFrame:
     lists = points.groupBy("leaf_id").agg(F.sort_array(F.collect_list(F.struct("i", "px", "py"))).alias("_p"))
     k = lists.select("leaf_id", "_p", bend(F.col("_p.px"), F.col("_p.py")).alias("_k"))
     cols = [F.get("_k", F.lit(j)) for j in range(len(sigmas))]
-    zipped = F.arrays_zip(F.col("_p"), *[c.alias(f"c{j}") for j, c in enumerate(cols)])
     flat = k.select("leaf_id", "_p", *[c.alias(f"k{int(s)}") for c, s in zip(cols, sigmas)])
     names = [f"k{int(s)}" for s in sigmas]
     return flat.select("leaf_id", F.explode(F.arrays_zip("_p", *names)).alias("_z")).select(
@@ -327,7 +326,7 @@ def match_defects(gaps: DataFrame, points: DataFrame, defects: DataFrame, reach:
     keyp = defects.select("leaf_id", "depth", F.explode(F.array(
         F.struct(F.col("sx").alias("x"), F.col("sy").alias("y")), F.struct(F.col("ex").alias("x"), F.col("ey").alias("y")),
         F.struct(F.col("fx").alias("x"), F.col("fy").alias("y")))).alias("_k")).select("leaf_id", "depth", "_k.x", "_k.y")
-    near = F.expr("transform(sequence(-1, 1), d -> d)")
+    near = F.expr("sequence(-1, 1)")
     keyp = keyp.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near)).select(
         "leaf_id", "depth", "x", "y", (cell("x") + F.col("_dx")).alias("_cx"), (cell("y") + F.col("_dy")).alias("_cy")
     )

@@ -527,7 +527,7 @@ def frass_pellets(spark, sf):
 def _fd_sql():
     s = _colour_steps()
     t = s.layer("tissue=1")
-    d = s.layer("cls=1")
+    d = s.layer("cls=1 or (cls=2 and (x+y)%2=0)")
     c = _contrast_sql(s, 11)
     cand = s.layer(f"dr>={14 * 121} and gray<=108 and not (hue between 25 and 90 and sat>=55) and not {_WHITE.format(250)}", c)
     m = s.both(s.both(cand, s.dilate(d, R.ellipse_kernel(5))), t)
@@ -538,7 +538,7 @@ def _fd_sql():
 
 @query(_fd_sql())
 def frass_on_damage(spark, sf):
-    m, fr = leaves(spark, sf, t="tissue=1", d="cls=1")
+    m, fr = leaves(spark, sf, t="tissue=1", d="cls=1 or (cls=2 and (x+y)%2=0)")
     t = R.pick(m, "t")
     return digest(D.frass_in_damage(fx.leaf_px(spark, sf), R.pick(m, "d"), t, t, fr, lo=1, max_height=SIDE))
 

@@ -10,7 +10,7 @@ from ..operators import measure as M
 from ..operators import runs as R
 from ..session import cut_lineage, table
 from . import fixtures as fx
-from . import pipeline
+from . import flow
 from .fixtures import SIDE
 from .oracle import Steps
 from .q_masks import digest, leaves
@@ -38,9 +38,9 @@ def _flow_sql():
 @query(_flow_sql())
 def leaf_damage_results(spark, sf):
     layers = cut_lineage(R.to_runs(fx.leaf_px(spark, sf), {"tissue": F.expr("tissue=1"), "damage": F.expr("cls=1")}))
-    frag = pipeline.quick_fragments(layers, fx.leaf_frames(spark, sf), SIDE)
+    frag = flow.quick_fragments(layers, fx.leaf_frames(spark, sf), SIDE)
     named = frag.withColumn("image_name", F.concat(F.lit("P"), F.col("leaf_id"), F.lit("_white_bg.png")))
-    return pipeline.results(named, sql(spark, sf, _SCALE))
+    return flow.results(named, sql(spark, sf, _SCALE))
 
 
 def _sil_sql():
