@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +27,33 @@ def local_session(cpus: int | str = "*", app: str = "laminar", memory: str = "12
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Functions that run in Python workers are pickled by module name, so the workers must be able to import the package
+    whatever folder the driver started in.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="laminar-ship-"), "laminar.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for folder, _, files in os.walk(root):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(target)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints: the session's own, else a test folder."""
+    ship(spark)
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -67,4 +93,5 @@ def spread(df: DataFrame, *cols: str, factor: int = 4) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
