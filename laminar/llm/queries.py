@@ -35,3 +35,74 @@ def op5_minhash_near_dedup(spark, sf_dir):
     from .minhash import near_duplicates
 
     return near_duplicates(sidecars(spark, sf_dir)).withColumnRenamed("image_id", "doc_id")
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query()
+def op1_best_fit_packing(spark, sf_dir):
+    from .packing import pack_sidecars
+
+    return pack_sidecars(sidecars(spark, sf_dir), vocabulary()).withColumnRenamed("image_id", "doc_id")
+
+
+@query()
+def op8_benchmark_decontamination(spark, sf_dir):
+    from .decontam import find_passages
+
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("leaf_id"), F.col("text").alias("leaf_text"))
+    found = find_passages(sidecars(spark, sf_dir), items)
+    return found.select(
+        F.col("image_id").alias("doc_id"),
+        "n_words",
+        F.expr("cast(aggregate(spans, 0, (n, s) -> n + s.end - s.first) as bigint)").alias("n_hit"),
+        F.size("leaf_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("leaf_ids", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+@query()
+def op9_token_binary(spark, sf_dir):
+    from .shards import read_shards, write_shards
+
+    return read_shards(write_shards(sidecars(spark, sf_dir), vocabulary())).withColumnRenamed("image_id", "doc_id")
+
+
+OP3_SQL = """
+with recursive l as (
+  select doc_id, unnest(range(0, len(s))) as no, trim(unnest(s), ' ') as line
+  from (select doc_id, string_split(text, chr(10)) as s from documents where text is not null)),
+u as (select line, min((doc_id, no)) as ord, string_split(line, ' ') as w from l where line <> '' group by line),
+v as (
+  select ord, -1 as gap, md5(array_to_string(w, ' ')) as key, len(w) as n from u where len(w) >= 10
+  union all
+  select ord, g, md5(array_to_string(list_concat(w[1:g], w[g+2:]), ' ')), len(w) - 1
+  from (select ord, w, unnest(range(0, len(w))) as g from u where len(w) >= 10)),
+b as (select key, n, min(ord) filter (where gap < 0) as fu, min(ord) filter (where gap >= 0) as cu from v group by all having count(*) > 1),
+s as (select key, n, gap, min(ord) as su from v group by all),
+near as (select distinct v.ord from v join b using (key, n) join s using (key, n, gap)
+  where (gap < 0 and cu < v.ord) or (gap >= 0 and (su < v.ord or fu < v.ord))),
+k as (select l.doc_id, l.no, l.line, l.line = '' or (u.ord = (l.doc_id, l.no) and near.ord is null) as keep
+  from l left join u on l.line = u.line left join near on near.ord = u.ord),
+raw as (select doc_id, unnest(range(0, len(s))) as no, unnest(s) as t
+  from (select doc_id, string_split(text, chr(10)) as s from documents where text is not null))
+select d.doc_id, coalesce(a.n_lines, 0) as n_lines, coalesce(a.n_dropped, 0) as n_dropped, a.text_sha256 from documents d left join (
+  select k.doc_id, count(*) filter (where k.line <> '') as n_lines, count(*) filter (where not k.keep) as n_dropped,
+    sha256(coalesce(string_agg(raw.t, chr(10) order by raw.no) filter (where k.keep), '')) as text_sha256
+  from k join raw on k.doc_id = raw.doc_id and k.no = raw.no group by k.doc_id) a on a.doc_id = d.doc_id
+"""
+
+
+@query(OP3_SQL)
+def op3_line_dedup(spark, sf_dir):
+    from .lines import drop_duplicate_lines
+
+    left = drop_duplicate_lines(sidecars(spark, sf_dir))
+    return left.select(
+        F.col("image_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("meta_text", 256).alias("text_sha256")
+    )
