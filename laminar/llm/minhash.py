@@ -224,14 +224,15 @@ def near_duplicates(
         )
         .where(f"100 * (common + more) >= {percent} * n")
     )
-    able = stored(rest.join(bound, ["lead", "cls"]), "able")
+    spread = rest.groupBy("lead", "cls", "grp").agg(F.collect_set("band").alias("bands"))
+    able = stored(spread.join(bound, ["lead", "cls"]), "able")
     x, y = (
-        able.select("band", "lead", *[F.col(c).alias(f"{c}_{k}") for c in ("cls", "grp", "n", "common", "more")])
+        able.select("lead", *[F.col(c).alias(f"{c}_{k}") for c in ("cls", "grp", "bands", "n", "common", "more")])
         for k in "ab"
     )
     pairs = (
-        x.join(y, ["band", "lead"])
-        .where("grp_a <> grp_b and cls_a < cls_b")
+        x.join(y, "lead")
+        .where("grp_a <> grp_b and cls_a < cls_b and arrays_overlap(bands_a, bands_b)")
         .where(f"{100 + percent} * (least(common_a, common_b) + least(more_a, more_b)) >= {percent} * (n_a + n_b)")
         .select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
         .distinct()
