@@ -148,7 +148,7 @@ def _compare(pairs: DataFrame, sets: DataFrame, fan: int = 256) -> DataFrame:
         .drop("parts")
     )
     right = sets.withColumnsRenamed({"cls": "b", "shingles": "set_b"})
-    both = dealt.join(right, "b").join(left, ["a", "part"]).select("a", "b", "set_a", "set_b")
+    both = dealt.hint("merge").join(right, "b").join(left.hint("merge"), ["a", "part"]).select("a", "b", "set_a", "set_b")
     return both.mapInArrow(_comparer(), "a binary, b binary, n_a long, n_b long, common long, extra array<long>")
 
 
@@ -198,7 +198,7 @@ def near_duplicates(
     star = stored(led.where("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct(), "star")
     wanted = members.select("cls").distinct().join(classes, "cls").select("image_id").distinct()
     sets = stored(
-        texts.join(wanted, "image_id", "left_semi").mapInArrow(_shingler(words), "cls binary, shingles binary"), "shingles"
+        texts.join(wanted.hint("merge"), "image_id", "left_semi").mapInArrow(_shingler(words), "cls binary, shingles binary"), "shingles"
     )
     linked = f"100 * common >= {percent} * (n_a + n_b - common)"
     compared = stored(_compare(star, sets), "compared")
