@@ -144,15 +144,17 @@ def write_shards(sidecars: DataFrame, tokenizer_file: str, planes: str = "byte")
     """Encode every sidecar text and write all ids, in ascending ``image_id`` order, as shards in the shared folder.
 
     ``sidecars`` has ``image_id`` (integer) and ``meta_text``; a null text is empty, every record ends with id 1.  Rows
-    without an id come first; rows that share one follow each other by text.  Returns the stored shard table
+    without an id come first; rows that share one follow each other in the order of a hash of the text.  Returns the stored shard table
     ``part, number, before, n_ids, content``: ``content`` is one shard, ``before`` the ids of earlier shards of its
     part.  Spark's committer places the rows, so a lost or repeated task leaves no half-written shard.  An empty table
     gives no shard; further columns are ignored.
     """
     ordered = (
         sidecars.select(F.col("image_id").cast("long").alias("image_id"), "meta_text")
-        .repartitionByRange("image_id", "meta_text")
-        .sortWithinPartitions("image_id", "meta_text")
+        .withColumn("tie", F.xxhash64("meta_text"))
+        .repartitionByRange("image_id", "tie")
+        .sortWithinPartitions("image_id", "tie")
+        .drop("tie")
     )
     return stored(
         ordered.mapInArrow(
