@@ -8,13 +8,16 @@ it, goes through the complete tokenizer.
 
 from __future__ import annotations
 
+import re
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
 from .text import raw
 
-KEPT = 400_000  # encoded pieces a worker keeps
+KEPT = 800_000  # encoded pieces a worker keeps
 BLANKS = [0x20, *range(0x09, 0x0E)]
 
 
@@ -33,6 +36,7 @@ _ODD[[*range(9), *range(0x0E, 0x20), 0x27, 0x7C, 0x7F]] = True
 _KIND = np.full(256, 3, np.uint8)  # 1 letter, 2 digit, 3 punctuation
 _KIND[97:123] = _KIND[65:91] = _KIND[128:] = 1
 _KIND[48:58] = 2
+_PLAIN = re.compile(rb"(?:[!-&(-{}~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*")
 
 
 class Encoder:
@@ -40,13 +44,14 @@ class Encoder:
 
     def __init__(self, tokenizer_file: str):
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.kept: dict[bytes, list[int]] = {}
+        self.kept: dict[bytes, bytes] = {}
 
-    def _piece(self, piece: bytes) -> list[int]:
-        view = np.frombuffer(piece, np.uint8)
-        if _odd(view).any():
-            return self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return [t.id for t in self.tokenizer.model.tokenize(piece.decode("latin-1").translate(_LETTERS))]
+    def _piece(self, piece: bytes) -> bytes:
+        if _PLAIN.fullmatch(piece):
+            ids = [t.id for t in self.tokenizer.model.tokenize(piece.decode("latin-1").translate(_LETTERS))]
+        else:
+            ids = self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return array("I", ids).tobytes()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and n + 1 offsets."""
@@ -54,16 +59,16 @@ class Encoder:
         pieces, first = _pieces(data, offsets)
         coded = pieces.dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        known, ids = self.kept, []
+        known = self.kept
         if len(known) > KEPT:
             known.clear()
-        for piece in coded.dictionary.to_pylist():
-            got = known.get(piece)
+        distinct = coded.dictionary.to_pylist()
+        ids = list(map(known.get, distinct))
+        for k, got in enumerate(ids):
             if got is None:
-                got = known[piece] = self._piece(piece)
-            ids.append(got)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for got in ids for i in got), np.uint32, int(size.sum()))
+                ids[k] = known[distinct[k]] = self._piece(distinct[k])
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
         begin = np.cumsum(size) - size
         n = size[codes] if len(codes) else np.zeros(0, np.int64)
         ends = np.cumsum(n)
