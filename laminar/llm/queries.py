@@ -106,3 +106,52 @@ def op3_line_dedup(spark, sf_dir):
     return left.select(
         F.col("image_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("meta_text", 256).alias("text_sha256")
     )
+
+
+@query()
+def op6_importance_resampling(spark, sf_dir):
+    from .importance import resample
+
+    reviews = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("image_id"), F.col("quality").alias("usable"), F.col("toxic").alias("offensive")
+    )
+    drawn = resample(sidecars(spark, sf_dir), reviews)
+    return drawn.where("chosen").select(F.col("image_id").alias("doc_id"), "log_weight", "draw")
+
+
+@query()
+def op7_secret_ownership(spark, sf_dir):
+    from .credentials import scan_credentials
+
+    owned = sidecars(
+        spark, sf_dir, F.concat_ws("/", "source", "lang").alias("project"), F.col("source").alias("owner")
+    )
+    found = scan_credentials(owned)
+    count = "cast(size(filter(spans, s -> s.kind = '{0}')) as bigint) as n_{0}"
+    joined = "array_join(transform({0}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
+    base = joined.format("filter(spans, s -> s.kind <> 'owned')")
+    return found.select(
+        F.col("image_id").alias("doc_id"),
+        *[F.expr(count.format(k)) for k in ("assign", "access", "hex")],
+        F.expr(f"sha2({base}, 256)").alias("base_sha256"),
+        F.expr(joined.format("spans")).alias("spans"),
+    )
+
+
+@query()
+def op10_nearest_vectors(spark, sf_dir):
+    from .vptree import nearest_leaves
+
+    leaves = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("leaf_id"), F.col("embedding").alias("curvature")
+    )
+    near = nearest_leaves(leaves, leaves.where("leaf_id % 20 = 0"))
+    return near.withColumnRenamed("leaf_id", "vec_id")
+
+
+@query()
+def op4_context_mixing(spark, sf_dir):
+    from .mixing import score_sidecars
+
+    part = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 5 = 1").alias("held_out")
+    return score_sidecars(sidecars(spark, sf_dir, part)).withColumnRenamed("image_id", "doc_id")
