@@ -8,12 +8,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import ship
 from .store import stored
 from .text import ALNUM_TABLE, GOLDEN, Words, mix, slices
 
 BLOCK_BYTES = 16 << 20  # evaluation text searched in one pass
 LANE = 256  # words one search lane covers
+FOUND = ("n_words", "spans", "leaf_ids")
+_FOUND_FIELDS = [
+    T.StructField("n_words", T.LongType()),
+    T.StructField("spans", T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
+    T.StructField("leaf_ids", T.ArrayType(T.StringType())),
+]
 
 
 class Patterns:
@@ -147,7 +155,7 @@ def _merge(old: list[dict] | None, new: list[tuple[int, int]]) -> list[tuple[int
     return [(a, b) for a, b in out]
 
 
-def _searcher(items: list[tuple[str, str]], size: int):
+def _searcher(items: list[tuple[str, str]], size: int, again: bool):
     made: list[Search] = []
     span = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
 
@@ -155,11 +163,12 @@ def _searcher(items: list[tuple[str, str]], size: int):
         if not made:
             made.append(Search(items, size))
         for batch in slices(batches, "meta_text"):
-            n, ranges, names = made[0].spans(batch.column("meta_text"))
-            if batch.schema.get_field_index("spans") >= 0:
+            n_words, ranges, names = made[0].spans(batch.column("meta_text"))
+            if again:
                 ranges = [_merge(o, r) for o, r in zip(batch.column("spans").to_pylist(), ranges)]
                 names = [sorted({*o, *r}) for o, r in zip(batch.column("leaf_ids").to_pylist(), names)]
-            out = {"image_id": batch.column("image_id"), "meta_text": batch.column("meta_text"), "n_words": pa.array(n, pa.int64())}
+            out = {n: batch.column(n) for n in batch.schema.names if n not in FOUND}
+            out["n_words"] = pa.array(n_words, pa.int64())
             out["spans"] = pa.array([[{"first": a, "end": b} for a, b in r] for r in ranges], span)
             out["leaf_ids"] = pa.array(names, pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
@@ -177,26 +186,24 @@ def find_passages(sidecars: DataFrame, held_out: DataFrame, window: int = 10, bl
     Held-out texts go to the tasks in blocks of at most ``block_bytes`` (or one text); with several blocks the texts
     are searched once per block.  Sidecars are never shuffled.
 
-    Returns per row ``image_id, meta_text, n_words, spans`` (merged word ranges ``first, end`` that lie in an
+    Returns every row with its columns and ``n_words, spans`` (merged word ranges ``first, end`` that lie in an
     occurrence) and ``leaf_ids`` (held-out ids found, as sorted strings).  A null or empty text has no words.  Held-out
     rows without an id or text take no part; repeated ids count once.  Rows are neither dropped nor merged; an empty
-    table on either side gives no hits.  Further columns are ignored.
+    table on either side gives no hits.  Columns of the result's names are replaced.
     """
+    ship(sidecars.sparkSession)
     known = held_out.where("leaf_id is not null and leaf_text is not null").select(
         F.col("leaf_id").cast("string").alias("leaf_id"), "leaf_text"
     )
     known = known.distinct()
     total = known.agg(F.sum(F.octet_length("leaf_text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
-    schema = (
-        f"image_id {sidecars.schema['image_id'].dataType.simpleString()}, meta_text string, n_words long, "
-        "spans array<struct<first:int,end:int>>, leaf_ids array<string>"
-    )
-    out = sidecars.select("image_id", "meta_text")
+    out = sidecars.drop(*FOUND)
+    schema = T.StructType([*out.schema.fields, *_FOUND_FIELDS])
     for k in range(blocks):
         part = known if blocks == 1 else known.where(F.expr(f"pmod(xxhash64(leaf_id, leaf_text), {blocks}) = {k}"))
         items = sorted((r["leaf_id"], r["leaf_text"]) for r in part.toLocalIterator())
-        out = out.mapInArrow(_searcher(items, window), schema)
+        out = out.mapInArrow(_searcher(items, window, k > 0), schema)
         if k < blocks - 1:
             out = stored(out, "searched")
     return out

@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .store import stored
 from .text import ALNUM_TABLE, Words, mix, slices
 
@@ -166,6 +167,7 @@ def resample(
     the shares give.  Reviews with a null mark or id are not used; without any usable review every text has weight 1.
     Rows that repeat an id are drawn each; rows without an id share one draw.  Further columns are ignored.
     """
+    ship(sidecars.sparkSession)
     id_type = sidecars.schema["image_id"].dataType.simpleString()
     texts = sidecars.select("image_id", "meta_text")
     marked = reviews.where("image_id is not null and usable is not null and offensive is not null").select(

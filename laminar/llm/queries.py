@@ -37,6 +37,18 @@ def op5_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(sidecars(spark, sf_dir)).withColumnRenamed("image_id", "doc_id")
 
 
+def held_out_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``benchmark`` as held-out leaf descriptions."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("leaf_id"), F.col("text").alias("leaf_text"))
+
+
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``labels`` as reviews of sidecar texts."""
+    return table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("image_id"), F.col("quality").alias("usable"), F.col("toxic").alias("offensive")
+    )
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -54,8 +66,7 @@ def op1_best_fit_packing(spark, sf_dir):
 def op8_benchmark_decontamination(spark, sf_dir):
     from .decontam import find_passages
 
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("leaf_id"), F.col("text").alias("leaf_text"))
-    found = find_passages(sidecars(spark, sf_dir), items)
+    found = find_passages(sidecars(spark, sf_dir), held_out_leaves(spark, sf_dir))
     return found.select(
         F.col("image_id").alias("doc_id"),
         "n_words",
@@ -112,10 +123,7 @@ def op3_line_dedup(spark, sf_dir):
 def op6_importance_resampling(spark, sf_dir):
     from .importance import resample
 
-    reviews = table(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("image_id"), F.col("quality").alias("usable"), F.col("toxic").alias("offensive")
-    )
-    drawn = resample(sidecars(spark, sf_dir), reviews)
+    drawn = resample(sidecars(spark, sf_dir), reviews(spark, sf_dir))
     return drawn.where("chosen").select(F.col("image_id").alias("doc_id"), "log_weight", "draw")
 
 
@@ -155,3 +163,50 @@ def op4_context_mixing(spark, sf_dir):
 
     part = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 5 = 1").alias("held_out")
     return score_sidecars(sidecars(spark, sf_dir, part)).withColumnRenamed("image_id", "doc_id")
+
+
+OP2_SQL = """
+with recursive t as (select conv_id, turn, role, text, len(string_split(text, ' ')) as words,
+    exists (select 1 from conversations p where p.conv_id = c.conv_id and p.turn = c.turn - 2 and p.role = 'user') as chained,
+    (select any_value(a.text) from conversations a where a.conv_id = c.conv_id and a.turn = c.turn + 1 and a.role = 'assistant') as outcome,
+    exists (select 1 from conversations a where a.conv_id = c.conv_id and a.turn = c.turn + 1 and a.role = 'assistant') as answered,
+    exists (select 1 from conversations a where a.conv_id = c.conv_id and a.turn = c.turn - 1 and a.role = 'user') as asked
+  from conversations c),
+g as (select conv_id, turn, turn - 2 * row_number() over (partition by conv_id, turn % 2 order by turn) as run from t where role = 'user'),
+lv as (select conv_id, turn, row_number() over (partition by conv_id, turn % 2, run order by turn) - 1 as level from g)
+select t.conv_id, t.turn, if(role = 'user', 'request', if(role = 'assistant', 'outcome', 'message')) as kind,
+  lv.level, if(role = 'user' and answered, t.turn + 1, null) as outcome_turn,
+  case when role = 'user' then concat_ws(',', if(not answered, 'no outcome', null), if(t.turn >= 2 and not chained, 'unknown after_id', null))
+    when role = 'assistant' and not asked then 'no request' else '' end as problems,
+  sha256(case when role = 'user' then json_object('arguments', json_object('text', text, 'words', words), 'id', 't' || t.turn, 'kind', 'request',
+      'op', 'say', 'outcome', outcome, 'seq', t.turn)::varchar
+    else json_object('content', text, 'id', if(role = 'assistant', 't' || (t.turn - 1), null), 'kind', if(role = 'assistant', 'outcome', 'message'),
+      'seq', t.turn)::varchar end) as message_sha256
+from t left join lv on t.conv_id = lv.conv_id and t.turn = lv.turn and t.role = 'user'
+"""
+
+
+@query(OP2_SQL)
+def op2_tool_call_linking(spark, sf_dir):
+    from .chat import link_edits
+
+    turns = table(spark, sf_dir, "conversations")
+    user, reply = F.col("role") == "user", F.col("role") == "assistant"
+    log = turns.select(
+        F.col("conv_id").alias("image_name"),
+        F.col("turn").alias("seq"),
+        F.when(user, "request").when(reply, "outcome").otherwise("message").alias("kind"),
+        F.when(user, F.concat(F.lit("t"), "turn")).when(reply, F.concat(F.lit("t"), F.col("turn") - 1)).alias("edit_id"),
+        F.when(user & (F.col("turn") >= 2), F.concat(F.lit("t"), F.col("turn") - 2)).alias("after_id"),
+        F.when(user, "say").alias("op"),
+        F.when(user, F.to_json(F.expr("named_struct('text', text, 'words', size(split(text, ' ')))"))).otherwise(F.col("text")).alias("body"),
+    )
+    operations = spark.sql(
+        "select * from values ('say', 'text', 'string', true), ('say', 'words', 'integer', true) as t(op, name, type, required)"
+    )
+    linked = link_edits(log, operations)
+    return linked.select(
+        F.col("image_name").alias("conv_id"), F.col("seq").alias("turn"), "kind", "level",
+        F.col("outcome_seq").alias("outcome_turn"), F.array_join("problems", ",").alias("problems"),
+        F.sha2("message", 256).alias("message_sha256"),
+    )
