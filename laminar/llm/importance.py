@@ -34,12 +34,15 @@ def _outline(word: bytes) -> bytes:
 def grams(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed n-grams of each text, in one array with n + 1 offsets.
 
-    The n-grams are lower-cased words, outlines of white-space parted words (case, digits, punctuation), and the three-word
-    n-gram of one repeated word.
+    The n-grams are lower-cased words, the first four characters of each, outlines of white-space parted words (case,
+    digits, punctuation), and the three-word n-gram of one repeated word.
     """
     words, shapes = Words(texts, ALNUM_TABLE), Words(texts, OUTLINE_TABLE)
     mask = np.uint64((1 << bits) - 1)
     word = (mix(words.hashes()) & mask).astype(np.int64)
+    starts = (xxhash.xxh3_64_intdigest(w.decode()[:4], 5) for w in words.vocab.to_pylist())
+    start = (np.fromiter(starts, np.uint64, len(words.vocab)) & mask).astype(np.int64)
+    start = start[words.codes] if len(start) else np.zeros(0, np.int64)
     forms = np.fromiter((xxhash.xxh3_64_intdigest(_outline(w), 7) for w in shapes.vocab.to_pylist()), np.uint64, len(shapes.vocab))
     form = (forms & mask).astype(np.int64)[shapes.codes] if len(forms) else np.zeros(0, np.int64)
     thrice = np.int64(xxhash.xxh3_64_intdigest(b"thrice") & int(mask))
@@ -47,7 +50,7 @@ def grams(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     for a, b, c, d in zip(words.first[:-1], words.first[1:], shapes.first[:-1], shapes.first[1:]):
         code = words.codes[a:b]
         again = len(code) > 2 and bool(((code[2:] == code[1:-1]) & (code[1:-1] == code[:-2])).any())
-        got = np.unique(np.concatenate([word[a:b], form[c:d], [thrice] if again else []]).astype(np.int64))
+        got = np.unique(np.concatenate([word[a:b], start[a:b], form[c:d], [thrice] if again else []]).astype(np.int64))
         out.append(got)
         sizes.append(len(got))
     return np.concatenate(out) if out else np.zeros(0, np.int64), np.r_[0, np.cumsum(sizes)].astype(np.int64)
@@ -88,7 +91,7 @@ def _counts(texts: DataFrame, bits: int, classed: bool) -> np.ndarray:
     return out
 
 
-def fit_ratios(by_class: np.ndarray, corpus: np.ndarray, prior: float = 1.0, margin: float = 2.5) -> np.ndarray:
+def fit_ratios(by_class: np.ndarray, corpus: np.ndarray, prior: float = 0.5, margin: float = 2.7) -> np.ndarray:
     """Log ratios of the poor and offensive models to the wanted one, one row each.
 
     Each model's count of an n-gram is weighed against the count that its size and the whole corpus lead one to expect,
