@@ -108,8 +108,8 @@ def _scorer(ratios: np.ndarray, shares: np.ndarray, bits: int, seed: int, temper
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "meta_text"):
             flat, offsets = grams(batch.column("meta_text"), bits)
-            sums = np.stack([np.r_[0.0, np.cumsum(r[flat])] for r in ratios])
-            evidence = sums[:, offsets[1:]] - sums[:, offsets[:-1]]
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            evidence = np.stack([np.bincount(owner, r[flat], batch.num_rows) for r in ratios])
             with np.errstate(divide="ignore"):
                 parts = np.log(shares)[:, None] + np.vstack([np.zeros(batch.num_rows), evidence])
             weight = -np.logaddexp.reduce(parts, axis=0)
