@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import discard, stored
 
 LINE = ["h1", "h2"]  # 128-bit fingerprint of a line
 
@@ -51,7 +51,7 @@ def duplicate_lines(sidecars: DataFrame, least_words: int = 10) -> DataFrame:
     distinct = stored(
         keyed.groupBy(*LINE).agg(
             F.min("place").alias("first"), F.max("n").alias("n"), *[F.max(f"k{i}").alias(f"k{i}") for i in range(4)]
-        ),
+        ).drop(*LINE),
         "lines",
     )
 
@@ -120,6 +120,9 @@ def duplicate_lines(sidecars: DataFrame, least_words: int = 10) -> DataFrame:
         .where("p + s >= least(size(a), size(b)) - if(size(a) = size(b), 1, 0)")
         .select("first", F.lit(True).alias("near"))
     )
+    near = stored(near, "near")
+    discard(variants)
+    discard(texts_of)
     return distinct.select("first", "n").join(near, "first", "left").select(
         "first", "n", F.coalesce("near", F.lit(False)).alias("near")
     )

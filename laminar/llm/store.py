@@ -25,15 +25,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df_or_path: DataFrame | str, spark: SparkSession | None = None) -> None:
-    """Delete a stored table that no result refers to any more."""
-    if isinstance(df_or_path, DataFrame):
-        spark = df_or_path.sparkSession
-        files = df_or_path.inputFiles()
-        if not files:
-            return
-        path = files[0].rsplit("/", 1)[0]
-    else:
-        path = df_or_path
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+def discard(df: DataFrame) -> None:
+    """Delete a stored table that no later step reads."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
