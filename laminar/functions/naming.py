@@ -79,14 +79,18 @@ def scale_base(s) -> Column:
 
 
 def natural_key(name) -> Column:
-    """Orderable key in which embedded numbers compare as numbers."""
+    """Orderable key in which embedded numbers compare as numbers.
+
+    A number is its length and digits without leading zeros, so any number
+    of digits compares rightly.
+    """
     parts = F.split(F.lower(_c(name)), r"(?<=\d)(?=\D)|(?<=\D)(?=\d)")
     return F.transform(
         parts,
         lambda p: F.struct(
             (~p.rlike(r"^\d")).cast("int").alias("is_text"),
-            p.try_cast("decimal(38,0)").alias("num"),
-            F.when(p.rlike(r"^\d"), F.lit("")).otherwise(p).alias("text"),
+            F.when(p.rlike(r"^\d"), F.length(F.regexp_replace(p, "^0+", ""))).alias("digits"),
+            F.when(p.rlike(r"^\d"), F.regexp_replace(p, "^0+", "")).otherwise(p).alias("text"),
         ),
     )
 

@@ -57,16 +57,22 @@ def _link(codes: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, reac
     return root
 
 
+def _changes(pdf: pd.DataFrame, group: list[str]) -> np.ndarray:
+    """Where a new group begins after the first row; nulls equal nulls."""
+    change = np.zeros(len(pdf), dtype=bool)
+    for c in group:
+        v, gone = pdf[c].to_numpy(), pdf[c].isna().to_numpy()
+        change[1:] |= (v[1:] != v[:-1]) & ~(gone[1:] & gone[:-1])
+    return change
+
+
 def _label_batches(batches: Iterator[pd.DataFrame], keys: list[str], reach: int) -> Iterator[pd.DataFrame]:
     """Label sorted runs batch by batch; the unfinished last group waits."""
     group = [*keys, "_band"]
-    held: pd.DataFrame | None = None
+    held: list[pd.DataFrame] = []
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        change = np.zeros(len(pdf), dtype=bool)
-        for c in group:
-            v = pdf[c].to_numpy()
-            change[1:] |= v[1:] != v[:-1]
+        change = _changes(pdf, group)
         codes = np.cumsum(change).astype(np.int64)
         y = pdf["y"].to_numpy(np.int64)
         x0 = pdf["x0"].to_numpy(np.int64)
@@ -76,20 +82,18 @@ def _label_batches(batches: Iterator[pd.DataFrame], keys: list[str], reach: int)
         return pdf.drop(columns="_band").assign(comp=y[root] * STRIDE + x0[root])
 
     for pdf in batches:
-        if held is not None:
-            pdf = pd.concat([held, pdf], ignore_index=True)
         if not len(pdf):
             continue
-        tail = np.ones(len(pdf), dtype=bool)
-        for c in group:
-            v = pdf[c].to_numpy()
-            tail &= v == v[-1]
-        start = int(np.argmax(tail))
-        held = pdf.iloc[start:].reset_index(drop=True)
-        if start:
-            yield label(pdf.iloc[:start].reset_index(drop=True))
-    if held is not None and len(held):
-        yield label(held)
+        joint = pd.concat([held[-1].iloc[-1:], pdf.iloc[:1]]) if held else pdf.iloc[:1]
+        if not _changes(joint, group).any() and not _changes(pdf, group).any():
+            held.append(pdf)
+            continue
+        whole = pd.concat([*held, pdf], ignore_index=True)
+        cut = int(np.flatnonzero(_changes(whole, group))[-1])
+        yield label(whole.iloc[:cut].reset_index(drop=True))
+        held = [whole.iloc[cut:].reset_index(drop=True)]
+    if held:
+        yield label(pd.concat(held, ignore_index=True))
 
 
 def _contract(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -121,32 +125,27 @@ def _contract(edges: DataFrame, keys: list[str]) -> DataFrame:
             return parent
 
 
-def components(runs: DataFrame, conn: int = 8, max_height: int | None = None) -> DataFrame:
+def components(runs: DataFrame, conn: int = 8) -> DataFrame:
     """Runs with a ``comp`` column: the scan-order code of the component's
     first pixel, so ids are stable and ordered as a raster scan meets them.
 
-    ``max_height`` states the tallest picture when the caller knows it; it
-    only lets the plan leave out the cross-band step for pictures that fit
-    one band and is checked against the rows it sees.
+    The labelled runs are checkpointed once, so everything above reads them
+    instead of labelling again.  Bands are joined up only if some picture
+    is taller than one.
     """
     reach = 1 if conn == 8 else 0
     keys = keys_of(runs)
-    banded = runs.select(*keys, *SPAN, F.expr(f"cast(y div {BAND_ROWS} as int)").alias("_band"))
-    one_band = max_height is not None and max_height <= BAND_ROWS
-    if one_band:
-        banded = banded.withColumn(
-            "_band",
-            F.when(F.col("_band") == 0, 0).otherwise(F.raise_error(F.lit("picture taller than max_height"))),
-        )
+    wide = F.greatest(F.abs("x0"), F.abs("x1")) >= STRIDE
+    checked = F.when(wide, F.raise_error(F.lit(f"picture wider than {STRIDE} pixels"))).otherwise(F.col("x0"))
+    banded = runs.select(*keys, "y", checked.cast(runs.schema["x0"].dataType).alias("x0"), "x1", F.expr(f"cast(y div {BAND_ROWS} as int)").alias("_band"))
     schema = T.StructType([f for f in runs.select(*keys, *SPAN).schema.fields] + [T.StructField("comp", T.LongType())])
-    local = (
+    local = cut_lineage(
         banded.repartition(*keys, "_band")
         .sortWithinPartitions(*keys, "_band", "y", "x0")
         .mapInPandas(lambda it: _label_batches(it, keys, reach), schema)
     )
-    if one_band:
+    if local.where(f"y >= {BAND_ROWS} or y < 0").isEmpty():
         return local
-    local = cut_lineage(local)
     edge_rows = local.where(F.expr(f"y % {BAND_ROWS} in (0, {BAND_ROWS - 1})"))
     upper = edge_rows.where(F.expr(f"y % {BAND_ROWS} = {BAND_ROWS - 1}")).select(
         *keys, (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("comp").alias("b")
@@ -220,23 +219,23 @@ def largest_stats(stats: DataFrame) -> DataFrame:
     return first_by(stats, keys, -F.col("area"), F.col("comp"))
 
 
-def largest(runs: DataFrame, max_height: int | None = None) -> DataFrame:
+def largest(runs: DataFrame) -> DataFrame:
     """The largest 8-connected component per leaf (the first one on ties)."""
-    comp = components(runs, 8, max_height)
+    comp = components(runs, 8)
     keys = _leaf_keys(comp)
     sizes = comp.groupBy(*keys, "comp").agg(F.sum(F.col("x1") - F.col("x0")).alias("area"))
     return keep(comp, first_by(sizes, keys, -F.col("area"), F.col("comp")))
 
 
 def component_at(
-    runs: DataFrame, points: DataFrame, fallback: str = "largest", max_height: int | None = None
+    runs: DataFrame, points: DataFrame, fallback: str = "largest"
 ) -> DataFrame:
     """The component under a point ``(keys, px, py)``.
 
     A point on the background falls back to the ``largest`` component, to
     the ``nearest`` one by pixel distance, or to an ``empty`` mask.
     """
-    comp = components(runs, 8, max_height)
+    comp = components(runs, 8)
     keys = _leaf_keys(comp)
     at = comp.join(points, keys)
     # distance of the point to the closest pixel of a run
@@ -262,11 +261,10 @@ def filter_components(
     max_area: int | None = None,
     conn: int = 8,
     fallback_largest: bool = False,
-    max_height: int | None = None,
 ) -> DataFrame:
     """Drop components outside an area range; optionally keep the largest
     when nothing qualifies."""
-    comp = components(runs, conn, max_height)
+    comp = components(runs, conn)
     keys = _leaf_keys(comp)
     sizes = comp.groupBy(*keys, "comp").agg(F.sum(F.col("x1") - F.col("x0")).alias("area"))
     ok = F.col("area") >= min_area
@@ -283,11 +281,11 @@ def filter_components(
     return keep(comp, chosen)
 
 
-def remove_small(runs: DataFrame, frames: DataFrame, ratio: float = 0.002, floor: int = 80, max_height: int | None = None):
+def remove_small(runs: DataFrame, frames: DataFrame, ratio: float = 0.002, floor: int = 80):
     """Drop components below ``max(floor, ratio * h * w)``; if nothing is left
     keep the largest."""
     fkeys = [c for c in frames.columns if c not in ("h", "w")]
-    comp = components(runs, 8, max_height)
+    comp = components(runs, 8)
     keys = _leaf_keys(comp)
     sizes = (
         comp.groupBy(*keys, "comp")
@@ -305,7 +303,7 @@ def min_area_floor(ratio: float = 0.002, floor: int = 80) -> Column:
 
 
 def leaf_instances(
-    runs: DataFrame, min_area: int = 5000, max_leaves: int | None = None, max_height: int | None = None
+    runs: DataFrame, min_area: int = 5000, max_leaves: int | None = None
 ) -> DataFrame:
     """Number the leaves of a photo.
 
@@ -313,7 +311,7 @@ def leaf_instances(
     the rest are counted left to right, then top to bottom, by rounded
     centroid.  Ranking runs over component rows, never over pixels.
     """
-    comp = components(runs, 8, max_height)
+    comp = components(runs, 8)
     stats = component_stats(comp).where(F.col("area") >= min_area)
     keys = _leaf_keys(comp)
     if max_leaves:
@@ -324,11 +322,11 @@ def leaf_instances(
     return stats.withColumn("leaf_index", F.row_number().over(place))
 
 
-def split_fragments(runs: DataFrame, frames: DataFrame, max_height: int | None = None) -> DataFrame:
+def split_fragments(runs: DataFrame, frames: DataFrame) -> DataFrame:
     """Tissue fragments, largest first, as runs with a ``frag`` number; a
     leaf without a large enough piece stays whole."""
     fkeys = [c for c in frames.columns if c not in ("h", "w")]
-    comp = components(runs, 8, max_height)
+    comp = components(runs, 8)
     keys = _leaf_keys(comp)
     sizes = (
         comp.groupBy(*keys, "comp")
@@ -345,11 +343,11 @@ def split_fragments(runs: DataFrame, frames: DataFrame, max_height: int | None =
     return split.unionByName(whole)
 
 
-def enclosed(runs: DataFrame, frames: DataFrame, max_height: int | None = None) -> DataFrame:
+def enclosed(runs: DataFrame, frames: DataFrame) -> DataFrame:
     """Background enclosed by the mask (4-connected, not touching the rim)."""
     fkeys = [c for c in frames.columns if c not in ("h", "w")]
     gaps = mask_not(runs, frames)
-    comp = components(gaps, 4, max_height)
+    comp = components(gaps, 4)
     keys = _leaf_keys(comp)
     open_comp = (
         comp.join(frames, fkeys)
@@ -360,18 +358,18 @@ def enclosed(runs: DataFrame, frames: DataFrame, max_height: int | None = None)
     return keep(comp, open_comp)
 
 
-def fill_holes(runs: DataFrame, frames: DataFrame, max_height: int | None = None) -> DataFrame:
-    return merge(runs.unionByName(enclosed(runs, frames, max_height).select(*runs.columns)))
+def fill_holes(runs: DataFrame, frames: DataFrame) -> DataFrame:
+    return merge(runs.unionByName(enclosed(runs, frames).select(*runs.columns)))
 
 
-def internal_holes(tissue: DataFrame, roi: DataFrame, frames: DataFrame, max_height: int | None = None) -> DataFrame:
+def internal_holes(tissue: DataFrame, roi: DataFrame, frames: DataFrame) -> DataFrame:
     """Enclosed background of the tissue that lies inside the region."""
-    return combine({"_h": enclosed(tissue, frames, max_height), "_r": roi}, "_h and _r")
+    return combine({"_h": enclosed(tissue, frames), "_r": roi}, "_h and _r")
 
 
-def centroid_of_largest(runs: DataFrame, frames: DataFrame, max_height: int | None = None) -> DataFrame:
+def centroid_of_largest(runs: DataFrame, frames: DataFrame) -> DataFrame:
     """Truncated centroid of the largest component; picture centre if empty."""
-    comp = components(runs, 8, max_height)
+    comp = components(runs, 8)
     keys = _leaf_keys(comp)
     best = first_by(component_stats(comp), keys, -F.col("area"), F.col("comp"))
     return frames.join(best, keys, "left").select(
@@ -381,12 +379,12 @@ def centroid_of_largest(runs: DataFrame, frames: DataFrame, max_height: int | No
     )
 
 
-def drop_islands(mask: DataFrame, partial: DataFrame, frames: DataFrame, max_height: int | None = None) -> DataFrame:
+def drop_islands(mask: DataFrame, partial: DataFrame, frames: DataFrame) -> DataFrame:
     """Keep added pieces only where they touch the partial mask."""
     from .runs import dilate_square
 
     added = combine({"_m": mask, "_p": partial}, "_m and not _p")
-    comp = components(added, 8, max_height)
+    comp = components(added, 8)
     keys = _leaf_keys(comp)
     touch = dilate_square(partial, 3, frames)
     met = (

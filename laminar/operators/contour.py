@@ -81,19 +81,19 @@ def polygon_runs(vertices: DataFrame) -> DataFrame:
     )
 
 
-def convex_hull(runs: DataFrame, max_height: int | None = None) -> DataFrame:
+def convex_hull(runs: DataFrame) -> DataFrame:
     """Filled convex hull of each leaf's largest component."""
-    return polygon_runs(hull_vertices(C.largest(runs, max_height)))
+    return polygon_runs(hull_vertices(C.largest(runs)))
 
 
 ROI_MODES = ("mask", "filled", "closed", "hull", "lama", "reconstruction")
 
 
-def expand_roi(runs: DataFrame, mode: str, frames: DataFrame, max_height: int | None = None) -> DataFrame:
+def expand_roi(runs: DataFrame, mode: str, frames: DataFrame) -> DataFrame:
     """Region a leaf's damage is measured against."""
     if mode not in ROI_MODES:
         raise ValueError(f"roi mode must be one of {ROI_MODES}, got {mode!r}")
-    base = cut_lineage(C.fill_holes(runs, frames, max_height))
+    base = cut_lineage(C.fill_holes(runs, frames))
     if mode not in ("closed", "hull"):
         return base
     from .runs import close_adaptive
@@ -102,8 +102,8 @@ def expand_roi(runs: DataFrame, mode: str, frames: DataFrame, max_height: int |
     if mode == "closed":
         return closed
     sized = area(base).where("area >= 50").select("leaf_id")
-    hull = convex_hull(base.join(sized, "leaf_id", "left_semi"), max_height)
-    return C.fill_holes(mask_or(hull.select(*base.columns), closed, base), frames, max_height)
+    hull = convex_hull(base.join(sized, "leaf_id", "left_semi"))
+    return C.fill_holes(mask_or(hull.select(*base.columns), closed, base), frames)
 
 
 # --------------------------------------------------------------------------
@@ -141,13 +141,13 @@ def _trace(pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def contour(runs: DataFrame, max_height: int | None = None) -> DataFrame:
+def contour(runs: DataFrame) -> DataFrame:
     """Outer border of the largest component, pixel by pixel.
 
     One leaf's silhouette is one group; its size is bounded by the picture.
     """
     id_type = runs.schema["leaf_id"].dataType.simpleString()
-    return C.largest(runs, max_height).groupBy("leaf_id").applyInPandas(_trace, f"leaf_id {id_type}, i int, px int, py int")
+    return C.largest(runs).groupBy("leaf_id").applyInPandas(_trace, f"leaf_id {id_type}, i int, px int, py int")
 
 
 def contour_lengths(cnt: DataFrame) -> DataFrame:
@@ -179,10 +179,16 @@ def resample(cnt: DataFrame, n: int = N_POINTS) -> DataFrame:
     )
     out = at.where("_k1 >= _k0").withColumn("i", F.explode(F.sequence("_k0", "_k1"))).where(F.col("i") < n)
     t = (F.col("i") * F.col("_step") - F.col("_arc")) / (F.col("_end") - F.col("_arc"))
-    return out.select(
+    moved = out.select(
         "leaf_id", F.col("i").cast("int").alias("i"),
         (F.col("px") + t * (F.col("_nx") - F.col("px"))).alias("px"), (F.col("py") + t * (F.col("_ny") - F.col("py"))).alias("py"),
     )
+    # a contour without length repeats its point
+    still = arc.groupBy("leaf_id").agg(F.max("_arc").alias("_total"), F.min_by(F.struct("px", "py"), "i").alias("_p")).where("_total = 0")
+    held = still.select(
+        "leaf_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), F.col("_p.px").cast("double").alias("px"), F.col("_p.py").cast("double").alias("py")
+    )
+    return moved.unionByName(held)
 
 
 def curvature(points: DataFrame, sigmas=(2.0, 8.0, 20.0)) -> DataFrame:
@@ -227,16 +233,16 @@ def k_threshold(points: DataFrame, col: str = "k2") -> DataFrame:
     )
 
 
-def classify_morphology(runs: DataFrame, max_height: int | None = None) -> DataFrame:
+def classify_morphology(runs: DataFrame) -> DataFrame:
     """compound / lobed / serrated / smooth from component share, solidity
     and the perimeter against the hull's."""
-    comp = C.components(runs, 8, max_height)
+    comp = C.components(runs, 8)
     share = (
         comp.groupBy("leaf_id", "comp").agg(F.sum(F.col("x1") - F.col("x0")).alias("a"))
         .groupBy("leaf_id").agg((F.max("a") / F.sum("a")).alias("share"), F.count("*").alias("n"))
     )
-    c = contour_lengths(contour(runs, max_height))
-    hv = hull_vertices(C.largest(runs, max_height)).withColumnRenamed("v", "i")
+    c = contour_lengths(contour(runs))
+    hv = hull_vertices(C.largest(runs)).withColumnRenamed("v", "i")
     h = contour_lengths(hv).select("leaf_id", F.col("perimeter").alias("hp"), F.col("poly_area").alias("ha"))
     j = share.join(c, "leaf_id").join(h, "leaf_id").withColumn("solidity", F.col("poly_area") / F.greatest(F.lit(1.0), F.col("ha"))).withColumn(
         "perim_ratio", F.col("perimeter") / F.greatest(F.lit(1.0), F.col("hp"))
@@ -334,16 +340,35 @@ def match_defects(gaps: DataFrame, points: DataFrame, defects: DataFrame, reach:
     return hit.groupBy("leaf_id", "gap_id").agg(F.max("depth").alias("defect_depth"))
 
 
+# Least depth and arc length of a gap by leaf morphology.
+MORPHOLOGY_LIMITS = {"serrated": (18.0, 7), "lobed": (22.0, 10)}
+
+
 def score_gaps(gaps: DataFrame, points: DataFrame, thresholds: DataFrame, depths: DataFrame, whiteness: DataFrame | None = None,
-               min_depth: float = 10.0, threshold: float = 0.55) -> DataFrame:
-    """Five signals per gap, their weighted sum and the verdict."""
+               min_depth: float = 10.0, threshold: float = 0.55, excluded: DataFrame | None = None,
+               morphology: DataFrame | None = None) -> DataFrame:
+    """Five signals per gap, their weighted sum and the verdict.
+
+    ``excluded`` holds runs of the petiole and tip zones: a gap whose centre
+    lies there is never confirmed.  ``morphology`` (``leaf_id, morphology``)
+    raises the least depth, and drops gaps with too few points, on serrated
+    and lobed leaves.
+    """
     w = W.partitionBy("leaf_id").orderBy("i")
     flags = points.join(thresholds, "leaf_id").withColumn("_f", (F.col("k20") < F.col("k_thresh")).cast("int"))
     starts = flags.withColumn("_s", F.col("_f") * (1 - F.coalesce(F.lag("_f").over(w), F.lit(0))))
     ap = starts.groupBy("leaf_id").agg(F.sum("_s").alias("_r")).select(
         "leaf_id", F.when(F.col("_r") <= 2, 1.0).when(F.col("_r") >= 8, 0.0).otherwise(1.0 - (F.col("_r") - 2) / 6.0).alias("aperiodic")
     )
-    j = gaps.join(depths, ["leaf_id", "gap_id"], "left").join(ap, "leaf_id")
+    j = gaps.join(depths, ["leaf_id", "gap_id"], "left").join(ap, "leaf_id").withColumn("_least", F.lit(min_depth))
+    if morphology is not None:
+        j = j.join(morphology.select("leaf_id", "morphology"), "leaf_id", "left")
+        for kind, (deep, long) in MORPHOLOGY_LIMITS.items():
+            own = F.coalesce(F.col("morphology") == kind, F.lit(False))
+            j = j.where(~own | (F.col("n_pts") >= long)).withColumn(
+                "_least", F.when(own, F.greatest("_least", F.lit(deep))).otherwise(F.col("_least"))
+            )
+        j = j.drop("morphology")
     if whiteness is not None:
         j = j.join(whiteness, ["leaf_id", "gap_id"], "left")
     else:
@@ -355,12 +380,20 @@ def score_gaps(gaps: DataFrame, points: DataFrame, thresholds: DataFrame, depths
     d = F.coalesce("defect_depth", F.lit(0.0))
     out = j.withColumns({
         "coarse": unit((F.col("k_thresh") - F.col("k_min")) / (2.0 * F.abs("k_thresh") + 1e-9)),
-        "depth": F.when(d < min_depth, 0.0).otherwise(unit((d - min_depth) / (2.0 * min_depth + 1e-9))),
+        "depth": F.when(d < F.col("_least"), 0.0).otherwise(unit((d - F.col("_least")) / (2.0 * F.col("_least") + 1e-9))),
         "aspect": unit(1.0 - (F.col("width_px") / F.greatest(F.col("depth_proxy"), F.lit(1.0)) - 1.5) / 5.0),
         "white": F.when(F.col("whiteness").isNull(), 0.5).otherwise(unit((F.col("whiteness") - 0.80) / 0.20)),
     })
     total = sum((F.col(k) * v for k, v in GAP_WEIGHTS.items()), F.lit(0.0))
-    return out.withColumn("composite", total).withColumn("confirmed", F.col("composite") >= threshold)
+    out = out.withColumn("composite", total).drop("_least")
+    if excluded is None:
+        return out.withColumn("confirmed", F.col("composite") >= threshold)
+    zone = merge(excluded.select("leaf_id", *SPAN))
+    at = out.select("leaf_id", "gap_id", F.floor("cx").cast("int").alias("_x"), F.floor("cy").cast("int").alias("y"))
+    inside = at.join(zone, ["leaf_id", "y"]).where("_x >= x0 and _x < x1").select("leaf_id", "gap_id", F.lit(True).alias("_out"))
+    return out.join(inside, ["leaf_id", "gap_id"], "left").withColumn(
+        "confirmed", (F.col("composite") >= threshold) & F.col("_out").isNull()
+    ).drop("_out")
 
 
 def petiole_zone(runs: DataFrame, frames: DataFrame, neck: float = 0.30, bottom: float = 0.50) -> DataFrame:
@@ -375,7 +408,7 @@ def petiole_zone(runs: DataFrame, frames: DataFrame, neck: float = 0.30, bottom:
     return j.where(F.coalesce("width", F.lit(0)) < F.col("_max") * neck).groupBy("leaf_id").agg(F.min("y").alias("petiole_row"))
 
 
-def exclusion_zones(runs: DataFrame, frames: DataFrame, neck: float = 0.30, arc: float = 0.06, max_height: int | None = None) -> DataFrame:
+def exclusion_zones(runs: DataFrame, frames: DataFrame, neck: float = 0.30, arc: float = 0.06) -> DataFrame:
     """Petiole rows and a disc around the tip, as one mask.
 
     The tip is the contour point farthest from the petiole's middle; the
@@ -394,7 +427,7 @@ def exclusion_zones(runs: DataFrame, frames: DataFrame, neck: float = 0.30, arc:
                 F.when(F.col("petiole_row").isNull(), F.col("ax")).otherwise(F.coalesce("mx", F.col("w") / 2.0)).alias("rx"),
                 F.coalesce("petiole_row", "ay").cast("double").alias("ry"))
     )
-    cnt = cut_lineage(contour(runs, max_height))
+    cnt = cut_lineage(contour(runs))
     far = cnt.join(ref, "leaf_id").groupBy("leaf_id").agg(
         F.max(F.struct(F.hypot(F.col("px") - F.col("rx"), F.col("py") - F.col("ry")), -F.col("i"))).alias("_m"), F.count("*").alias("n")
     ).where("n >= 10").select("leaf_id", (-F.col("_m.col2")).alias("apex"), "n")
@@ -436,7 +469,7 @@ def budget_fill(cands: DataFrame, budget: DataFrame) -> DataFrame:
 
 
 def bite_gaps(runs: DataFrame, frames: DataFrame, min_depth: float = 5.0, min_area: int = 40, min_dc: float = 0.15,
-              max_area_frac: float = 0.35, max_height: int | None = None) -> DataFrame:
+              max_area_frac: float = 0.35) -> DataFrame:
     """Compact open-margin gaps between a leaf and its hull.
 
     Depth and depth per chord must be large enough; gaps near the tip, the
@@ -446,13 +479,13 @@ def bite_gaps(runs: DataFrame, frames: DataFrame, min_depth: float = 5.0, min_ar
     from .raster import max_depth2
 
     base = cut_lineage(runs)
-    hull = convex_hull(base, max_height)
-    filled = C.fill_holes(base, frames, max_height)
+    hull = convex_hull(base)
+    filled = C.fill_holes(base, frames)
     gap = cut_lineage(combine({"_h": hull, "_f": filled}, "_h and not _f"))
-    comp = cut_lineage(C.components(gap, 8, max_height))
+    comp = cut_lineage(C.components(gap, 8))
     stats = C.component_stats(comp)
     d2 = max_depth2(comp, frames)
-    excl = exclusion_zones(base, frames, 0.22, 0.045, max_height)
+    excl = exclusion_zones(base, frames, 0.22, 0.045)
     inx = intersect_runs(comp, excl).groupBy("leaf_id", "comp").agg(F.sum(F.col("x1") - F.col("x0")).alias("_ex"))
     n = F.col("x1") - F.col("x0")
     leaf = base.groupBy("leaf_id").agg(
@@ -478,7 +511,7 @@ REFINE_MODES = ("raw", "mask", "closed", "hull", "complete", "perforated")
 
 
 def refine_leaf_mask(runs: DataFrame, frames: DataFrame, mode: str = "complete", erode_px: int = 1, open_px: int = 2,
-                     divisor: float = 12.0, min_ratio: float = 0.002, max_height: int | None = None) -> DataFrame:
+                     divisor: float = 12.0, min_ratio: float = 0.002) -> DataFrame:
     """Leaf mask cleaned by mode, then reduced to its largest component.
 
     ``raw`` and ``mask`` fill holes, ``closed`` adds the adaptive closing,
@@ -490,13 +523,13 @@ def refine_leaf_mask(runs: DataFrame, frames: DataFrame, mode: str = "complete",
     if mode not in REFINE_MODES:
         raise ValueError(f"mode must be one of {REFINE_MODES}, got {mode!r}")
     keep_holes = mode == "perforated"
-    fill = (lambda m: m) if keep_holes else (lambda m: C.fill_holes(m, frames, max_height))
-    base = cut_lineage(fill(C.largest(runs, max_height)))
+    fill = (lambda m: m) if keep_holes else (lambda m: C.fill_holes(m, frames))
+    base = cut_lineage(fill(C.largest(runs)))
     out = base
     if mode in ("closed", "complete", "perforated", "hull"):
         closed = close_adaptive(base, frames, divisor)
         if mode == "hull":
-            closed = mask_or(convex_hull(base, max_height).select(*base.columns), closed, base)
+            closed = mask_or(convex_hull(base).select(*base.columns), closed, base)
         out = fill(closed)
     if mode in ("hull", "complete", "perforated"):
         if open_px > 0:
@@ -505,13 +538,13 @@ def refine_leaf_mask(runs: DataFrame, frames: DataFrame, mode: str = "complete",
             out = erode(out, ellipse_kernel(2 * erode_px + 1), frames)
         if mode != "hull":
             out = fill(out)
-    out = C.remove_small(cut_lineage(out), frames, min_ratio, max_height=max_height)
-    return C.largest(out, max_height)
+    out = C.remove_small(cut_lineage(out), frames, min_ratio)
+    return C.largest(out)
 
 
-def gap_severity(runs: DataFrame, frames: DataFrame, gaps: DataFrame | None = None, max_height: int | None = None) -> DataFrame:
+def gap_severity(runs: DataFrame, frames: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
     """Missing share of the hull per leaf, and the number of confirmed gaps."""
-    hull = contour_lengths(hull_vertices(C.largest(runs, max_height)).withColumnRenamed("v", "i")).select("leaf_id", F.col("poly_area").alias("hull_area"))
+    hull = contour_lengths(hull_vertices(C.largest(runs)).withColumnRenamed("v", "i")).select("leaf_id", F.col("poly_area").alias("hull_area"))
     j = area(runs).join(hull, "leaf_id").select(
         "leaf_id",
         F.when(F.col("hull_area") < 1, 0.0).otherwise(

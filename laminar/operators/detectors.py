@@ -55,9 +55,9 @@ def colour_layers(px: DataFrame, **layers: Column | str) -> DataFrame:
 # --------------------------------------------------------------------------
 
 
-def remove_blue(mask: DataFrame, blue: DataFrame, limit: float = 0.20, max_height: int | None = None) -> DataFrame:
+def remove_blue(mask: DataFrame, blue: DataFrame, limit: float = 0.20) -> DataFrame:
     """Drop components that are mostly blue, then every blue pixel."""
-    comp = C.components(mask, 8, max_height)
+    comp = C.components(mask, 8)
     keys = [k for k in keys_of(comp) if k != "comp"]
     size = F.col("x1") - F.col("x0")
     sizes = comp.groupBy(*keys, "comp").agg(F.sum(size).alias("area"))
@@ -69,7 +69,7 @@ def remove_blue(mask: DataFrame, blue: DataFrame, limit: float = 0.20, max_heigh
 
 def leaf_mask_whitebg(
     px: DataFrame, frames: DataFrame, white: int = 250, min_ratio: float = 0.0005, max_ratio: float = MAX_LEAF_RATIO,
-    require_foliage: bool = True, fill: bool = False, drop_blue: bool = False, max_height: int | None = None,
+    require_foliage: bool = True, fill: bool = False, drop_blue: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Leaf on a white background, and a row describing the outcome.
 
@@ -80,17 +80,17 @@ def leaf_mask_whitebg(
     not_white = ~K.is_white(white)
     cand = not_white & K.is_foliage() if require_foliage else not_white
     layers = cut_lineage(colour_layers(px, cand=cand, strict=not_white & K.is_foliage(), blue=K.is_blue()))
-    first = C.largest(close_then_open(pick(layers, "cand"), DISC5, frames), max_height)
+    first = C.largest(close_then_open(pick(layers, "cand"), DISC5, frames))
     bare = cut_lineage(first)
-    out = C.fill_holes(bare, frames, max_height) if fill else bare
+    out = C.fill_holes(bare, frames) if fill else bare
     out = cut_lineage(out)
     sizes = frames.join(area(out), "leaf_id", "left").select(
         "leaf_id", F.coalesce("area", F.lit(0)).alias("a1"), (F.col("h") * F.col("w")).alias("px")
     )
     big = sizes.where(F.col("a1") / F.col("px") > max_ratio)
     strict = pick(layers, "strict").join(big.select("leaf_id"), "leaf_id", "left_semi")
-    second = C.largest(morph_open(strict, DISC5, frames, 2), max_height)
-    second = cut_lineage(C.fill_holes(second, frames, max_height) if fill else second)
+    second = C.largest(morph_open(strict, DISC5, frames, 2))
+    second = cut_lineage(C.fill_holes(second, frames) if fill else second)
     floor_px = F.greatest(F.lit(80), F.floor(F.col("px") * min_ratio))
     take = (
         big.join(area(second, "a2"), "leaf_id")
@@ -102,7 +102,7 @@ def leaf_mask_whitebg(
     )
     before = final
     if drop_blue:
-        final = remove_blue(final, pick(layers, "blue"), max_height=max_height)
+        final = remove_blue(final, pick(layers, "blue"))
     meta = (
         sizes.join(take, "leaf_id", "left")
         .join(area(before, "a3"), "leaf_id", "left")
@@ -125,7 +125,6 @@ def leaf_mask_whitebg(
 
 def leaf_mask_intact(
     px: DataFrame, frames: DataFrame, sat_min: int = 15, close_k: int = 7, min_ratio: float = 0.001,
-    max_height: int | None = None,
 ) -> DataFrame:
     """Undamaged leaf: dark by Otsu on lightness, coloured, not blue.
 
@@ -145,7 +144,7 @@ def leaf_mask_intact(
     chosen = cut_lineage(
         lit.where("_fg").join(counts, "leaf_id").where("_c or _few").select("leaf_id", "y", "x", (128 - F.col("lab_a")).alias("green"))
     )
-    comp = cut_lineage(C.components(to_runs(chosen), 8, max_height))
+    comp = cut_lineage(C.components(to_runs(chosen), 8))
     joined = comp.join(chosen, ["leaf_id", "y"]).where("x >= x0 and x < x1")
     stats = (
         joined.groupBy("leaf_id", "comp")
@@ -159,29 +158,29 @@ def leaf_mask_intact(
         F.when(F.col("_ok"), 0).otherwise(1),
         F.when(F.col("_ok"), -F.col("green")).otherwise(-F.col("area")), F.col("comp"),
     )
-    filled = C.fill_holes(C.keep(comp, best), frames, max_height)
+    filled = C.fill_holes(C.keep(comp, best), frames)
     return morph_close(filled, ellipse_kernel(close_k), frames, 2)
 
 
-def partial_mask(px: DataFrame, frames: DataFrame, threshold: int = 240, gentle: bool = False, max_height: int | None = None) -> DataFrame:
+def partial_mask(px: DataFrame, frames: DataFrame, threshold: int = 240, gentle: bool = False) -> DataFrame:
     """Visible tissue: not brighter than the threshold, smoothed, largest."""
     m = to_runs(px.where(K.gray() <= threshold))
     if gentle:
         m = morph_close(m, CROSS, frames, 2)
     else:
         m = morph_close(morph_open(m, DISC5, frames), DISC5, frames, 2)
-    return C.largest(m, max_height)
+    return C.largest(m)
 
 
 def reestimate_mask(
-    mask: DataFrame, px: DataFrame, frames: DataFrame, max_ratio: float = MAX_LEAF_RATIO, max_height: int | None = None
+    mask: DataFrame, px: DataFrame, frames: DataFrame, max_ratio: float = MAX_LEAF_RATIO
 ) -> tuple[DataFrame, DataFrame]:
     """Replace masks covering too much of the picture by a colour mask, if
     that one is smaller and at least 100 px; also lists the replaced leaves."""
     sizes = area(mask).join(frames, "leaf_id")
     big = sizes.where(F.col("area") / (F.col("h") * F.col("w")) > max_ratio).select("leaf_id", "area")
     retry = px.join(big.select("leaf_id"), "leaf_id", "left_semi")
-    new, _ = leaf_mask_whitebg(retry, frames.join(big.select("leaf_id"), "leaf_id", "left_semi"), max_ratio=max_ratio, max_height=max_height)
+    new, _ = leaf_mask_whitebg(retry, frames.join(big.select("leaf_id"), "leaf_id", "left_semi"), max_ratio=max_ratio)
     take = area(new, "a2").join(big, "leaf_id").where("a2 >= 100 and a2 < area").select("leaf_id")
     out = mask.join(take, "leaf_id", "left_anti").unionByName(new.join(take, "leaf_id", "left_semi").select(*mask.columns))
     return out, take
@@ -197,9 +196,9 @@ def exterior_touch(filled: DataFrame, frames: DataFrame) -> DataFrame:
     return dilate_square(mask_not(filled, frames), 3, frames)
 
 
-def trim_halo(tissue: DataFrame, foliage: DataFrame, frames: DataFrame, max_height: int | None = None) -> DataFrame:
+def trim_halo(tissue: DataFrame, foliage: DataFrame, frames: DataFrame) -> DataFrame:
     """Tissue without non-foliage pixels that touch the outside."""
-    touch = exterior_touch(C.fill_holes(tissue, frames, max_height), frames)
+    touch = exterior_touch(C.fill_holes(tissue, frames), frames)
     return combine({"_t": tissue, "_f": foliage, "_e": touch}, "_t and not (not _f and _e)")
 
 
@@ -218,27 +217,27 @@ def clip_halo(mask: DataFrame, paper: DataFrame, frames: DataFrame, max_depth: i
 
 
 def clip_colour(mask: DataFrame, px: DataFrame, frames: DataFrame, radius: int = 6, white: int = 248,
-                fill: bool = True, max_height: int | None = None) -> DataFrame:
+                fill: bool = True) -> DataFrame:
     """Mask limited to the closed colour silhouette."""
-    sil, _ = leaf_mask_whitebg(px, frames, white, 0.0003, 0.92, False, fill, max_height=max_height)
+    sil, _ = leaf_mask_whitebg(px, frames, white, 0.0003, 0.92, False, fill)
     if radius > 0:
         sil = morph_close(sil, ellipse_kernel(2 * radius + 1), frames)
     return combine({"_m": mask, "_s": sil}, "_m and _s")
 
 
 def whiten_holes(tissue: DataFrame, dark: DataFrame, murky: DataFrame, frames: DataFrame,
-                 solid: DataFrame | None = None, min_area: int = 6, max_height: int | None = None) -> DataFrame:
+                 solid: DataFrame | None = None, min_area: int = 6) -> DataFrame:
     """Pixels to repaint white: enclosed holes and dark non-leaf spots.
 
     ``dark`` is gray < 200 and not foliage, ``murky`` is value < 95 with
     saturation < 55.
     """
-    filled = C.fill_holes(tissue, frames, max_height)
+    filled = C.fill_holes(tissue, frames)
     solid = filled if solid is None else solid
     cand = combine(
         {"_s": solid, "_f": filled, "_t": tissue, "_d": dark, "_m": murky}, "(_f and not _t) or (_s and (_d or _m))"
     )
-    return C.filter_components(cand, min_area, max_height=max_height)
+    return C.filter_components(cand, min_area)
 
 
 # --------------------------------------------------------------------------
@@ -247,7 +246,7 @@ def whiten_holes(tissue: DataFrame, dark: DataFrame, murky: DataFrame, frames: D
 
 
 def white_holes(bright: DataFrame, foliage: DataFrame, inner: DataFrame, frames: DataFrame,
-                min_area: int = 3, share: float = 0.45, max_height: int | None = None) -> DataFrame:
+                min_area: int = 3, share: float = 0.45) -> DataFrame:
     """White regions framed by leaf.
 
     ``bright`` are region pixels above the brightness, ``inner`` those deeper
@@ -257,7 +256,7 @@ def white_holes(bright: DataFrame, foliage: DataFrame, inner: DataFrame, frames:
     """
     cand = combine({"_b": bright, "_f": foliage, "_i": inner}, "_b and not _f and _i")
     closed = cut_lineage(morph_close(cand, CROSS, frames))
-    comp = C.components(closed, 8, max_height)
+    comp = C.components(closed, 8)
     keys = [k for k in keys_of(comp) if k != "comp"]
     core = erode(closed, CROSS, frames)
     near = dilate(foliage.join(closed.select(*keys).distinct(), keys, "left_semi"), CROSS, frames, 2)
@@ -307,7 +306,7 @@ def intersect_px(px: DataFrame, roi: DataFrame) -> DataFrame:
 
 def auto_brightness(
     px: DataFrame, tissue_filled: DataFrame, roi: DataFrame, frames: DataFrame, hint: int | None = 235,
-    min_area: int = 3, edge_band: float = 2.0, floor: int = 175, ceiling: int = 250, max_height: int | None = None,
+    min_area: int = 3, edge_band: float = 2.0, floor: int = 175, ceiling: int = 250,
 ) -> tuple[DataFrame, DataFrame]:
     """Brightness per leaf, and the white holes found at it.
 
@@ -329,7 +328,6 @@ def auto_brightness(
     holes = cut_lineage(
         white_holes(
             bright, _per_threshold(foliage, live), _per_threshold(inner, live), frames.join(live, "leaf_id"), min_area,
-            max_height=max_height,
         )
     )
     areas = levels.join(area(holes), ["leaf_id", "t"], "left").fillna(0, ["area"]).join(area(roi, "roi_px"), "leaf_id").join(seeds, "leaf_id")
@@ -383,8 +381,7 @@ def healthy_reference(px_roi: DataFrame) -> DataFrame:
 
 
 def superficial(px: DataFrame, filled: DataFrame, roi: DataFrame, frames: DataFrame, min_area: int = 20,
-                min_ratio: float = 1.1, mult: float = 2.0, max_sat: int = 110, edge_band: float = 2.0,
-                max_height: int | None = None) -> tuple[DataFrame, DataFrame]:
+                min_ratio: float = 1.1, mult: float = 2.0, max_sat: int = 110, edge_band: float = 2.0) -> tuple[DataFrame, DataFrame]:
     """Scraped pale tissue, and the threshold row of each leaf."""
     inside = intersect_px(P.with_hsv(px).where(~K.is_white(250)), roi)
     ref = cut_lineage(healthy_reference(inside))
@@ -398,7 +395,7 @@ def superficial(px: DataFrame, filled: DataFrame, roi: DataFrame, frames: DataFr
     if edge_band > 0:
         cand = combine({"_c": cand, "_d": P.deeper_than(filled, frames, edge_band)}, "_c and _d")
     opened = morph_open(cand, CROSS, frames)
-    return C.filter_components(opened, min_area, max_height=max_height), meta
+    return C.filter_components(opened, min_area), meta
 
 
 def _contrast(px: DataFrame, frames: DataFrame, n: int) -> DataFrame:
@@ -410,17 +407,17 @@ def _contrast(px: DataFrame, frames: DataFrame, n: int) -> DataFrame:
 
 
 def frass_global(px: DataFrame, roi: DataFrame, tissue: DataFrame, frames: DataFrame, contrast: float = 16.0,
-                 dark: int = 75, chroma: int = 55, lo: int = 4, hi: int = 1200, max_height: int | None = None) -> DataFrame:
+                 dark: int = 75, chroma: int = 55, lo: int = 4, hi: int = 1200) -> DataFrame:
     """Dark neutral pellets by local contrast and size."""
     c = _contrast(px, frames, 13).where(
         (F.col("drop") >= contrast * 169) & (F.col("gray") <= dark) & K.is_neutral(chroma) & ~K.is_white(250)
     )
     cand = combine({"_c": to_runs(c), "_r": roi, "_t": tissue}, "_c and _r and _t")
-    return C.filter_components(cand, lo, hi, max_height=max_height)
+    return C.filter_components(cand, lo, hi)
 
 
 def frass_in_damage(px: DataFrame, damage: DataFrame, roi: DataFrame, tissue: DataFrame, frames: DataFrame,
-                    contrast: float = 14.0, gray_max: int = 108, lo: int = 4, hi: int = 900, max_height: int | None = None) -> DataFrame:
+                    contrast: float = 14.0, gray_max: int = 108, lo: int = 4, hi: int = 900) -> DataFrame:
     """Pellets sitting on or beside damage, with a milder contrast test."""
     green = F.col("hue").between(25, 90) & (F.col("sat") >= 55)
     c = _contrast(px, frames, 11).where(
@@ -428,7 +425,7 @@ def frass_in_damage(px: DataFrame, damage: DataFrame, roi: DataFrame, tissue: Da
     )
     zone = dilate_ellipse(damage, 5, frames)
     cand = combine({"_c": to_runs(c), "_z": zone, "_r": roi, "_t": tissue}, "_c and _z and _r and _t")
-    comp = C.components(cand, 8, max_height)
+    comp = C.components(cand, 8)
     keys = [k for k in keys_of(comp) if k != "comp"]
     sizes = comp.groupBy(*keys, "comp").agg(F.sum(F.col("x1") - F.col("x0")).alias("area")).where(F.col("area").between(lo, hi))
     on = intersect_runs(comp, damage).select(*keys, "comp").distinct()

@@ -231,7 +231,7 @@ def photo_circle_to_leaves(leaves: DataFrame, circles: DataFrame) -> DataFrame:
 
 
 def apply_priors(masks: DataFrame, boxes: DataFrame, points: DataFrame, frames: DataFrame,
-                 margin: float = 0.25, max_height: int | None = None) -> DataFrame:
+                 margin: float = 0.25) -> DataFrame:
     """Masks limited by optional box and point hints (both keyed by leaf)."""
     from .components import component_at, largest
     from .runs import SPAN, box_region, box_runs, keys_of, mask_and
@@ -243,7 +243,7 @@ def apply_priors(masks: DataFrame, boxes: DataFrame, points: DataFrame, frames:
     )
     with_point = boxed.join(points.select(*keys), keys, "left_semi").select(*keys, *SPAN)
     without = boxed.join(points.select(*keys), keys, "left_anti").select(*keys, *SPAN)
-    return component_at(with_point, points, "largest", max_height).unionByName(largest(without, max_height))
+    return component_at(with_point, points, "largest").unionByName(largest(without))
 
 
 def split_inputs(names: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -81,15 +81,19 @@ def rank_leaves(fragments: DataFrame) -> DataFrame:
     return fragments.withColumn("rank", F.row_number().over(w))
 
 
-def best_circle(cands: DataFrame, min_conf: float = 0.45, known_mm: float | None = 6.0) -> DataFrame:
-    """Best-scoring circle per image; an earlier method wins ties.
+def best_circle(cands: DataFrame, images: DataFrame, min_conf: float = 0.45, known_mm: float | None = 6.0) -> DataFrame:
+    """Best-scoring circle of every image; an earlier method wins ties.
 
-    ``cands`` is ``image_id, method_rank, method, diameter_px, area_px, score``.
+    ``cands`` is ``image_id, method_rank, method, diameter_px, area_px,
+    score``.  An image of ``images`` without a candidate has ``found`` false
+    and a low confidence.
     """
     best = cands.groupBy("image_id").agg(
         F.min_by(F.struct("method", "diameter_px", "area_px", "score"), F.struct(-F.col("score"), F.col("method_rank"))).alias("b")
     )
-    out = best.select("image_id", "b.*").withColumn("low_confidence", F.col("score") < min_conf)
+    out = images.select("image_id").distinct().join(best, "image_id", "left").select(
+        "image_id", F.col("b").isNotNull().alias("found"), "b.*"
+    ).withColumn("low_confidence", F.coalesce(F.col("score") < min_conf, F.lit(True)))
     if known_mm:
         area = 3.141592653589793 * (known_mm / 2) ** 2
         out = out.withColumn("mm_per_px", F.lit(known_mm) / F.col("diameter_px")).withColumn(
@@ -191,13 +195,24 @@ def upsert_results(results: DataFrame, updates: DataFrame) -> DataFrame:
     """Apply the latest update of each image to its result row.
 
     ``updates`` is ``image_name, seq`` plus any measurement columns; only
-    columns the results have are touched, unknown images are ignored.
+    columns the results have are touched, unknown images are ignored.  If
+    the results keep ``last_seq``, an update only counts when its ``seq`` is
+    larger, so the order and repetition of batches do not matter.
     """
-    cols = [c for c in results.columns if c != "image_name" and c in updates.columns]
-    latest = updates.groupBy("image_name").agg(F.max_by(F.struct(*cols), "seq").alias("_u"))
+    cols = [c for c in results.columns if c not in ("image_name", "last_seq") and c in updates.columns]
+    kept = "last_seq" in results.columns
+    latest = updates.groupBy("image_name").agg(F.max_by(F.struct("seq", *cols), "seq").alias("_u"))
     j = results.join(latest, "image_name", "left")
+    newer = F.col("_u").isNotNull()
+    if kept:
+        newer = newer & (F.col("last_seq").isNull() | (F.col("_u.seq") > F.col("last_seq")))
+    source = {c: f"_u.{c}" for c in cols} | ({"last_seq": "_u.seq"} if kept else {})
     return j.select(
-        *[F.coalesce(F.col(f"_u.{c}"), F.col(c)).cast(results.schema[c].dataType).alias(c) if c in cols else F.col(c) for c in results.columns]
+        *[
+            F.when(newer, F.coalesce(F.col(source[c]), F.col(c))).otherwise(F.col(c)).cast(results.schema[c].dataType).alias(c)
+            if c in source else F.col(c)
+            for c in results.columns
+        ]
     )
 
 

@@ -133,28 +133,38 @@ def gray_world(px: DataFrame) -> DataFrame:
 
 
 def normalise_bg(px: DataFrame, frames: DataFrame, near: float = 42.0, bright: int = 200, sat: int = 55,
-                 feather: float = 0.02, side: int | None = None) -> tuple[DataFrame, DataFrame]:
+                 feather: float = 0.02) -> tuple[DataFrame, DataFrame]:
     """Blend paper-like, non-green pixels to white with a feathered edge.
 
-    Returns the new pixels and the background share per leaf.  ``side`` is
-    the shorter side of the pictures when they all share it; the feather
-    width follows it.
+    Returns the new pixels and the background share per leaf.  The feather
+    width follows the shorter side of each leaf's own picture; leaves of one
+    width are summed together, and only the widths in use, a small share of
+    the longest side, reach the driver.
     """
     paper = paper_colour(px, frames)
-    if side is None:
-        side = frames.agg(F.min(F.least("h", "w"))).first()[0] or 1
-    k = max(3, int(side * feather) | 1)
+    width = F.greatest(F.lit(3), F.floor(F.least("h", "w") * feather).cast("int").bitwiseOR(F.lit(1)))
+    sized = frames.withColumn("_k", width)
     flagged = (
         with_hsv(px).join(paper, "leaf_id")
         .withColumn("_bg", ((K.paper_distance() < near) | ((F.col("sat") < sat) & (F.col("val") > bright))) & ~K.is_green())
         .withColumn("_bgi", F.col("_bg").cast("int") * 255)
     )
     share = flagged.groupBy("leaf_id").agg(F.bround(F.avg(F.col("_bg").cast("int")), 4).alias("bg_fraction"))
-    alpha = F.rint(F.col("_s") / (k * k)) / 255.0
-    soft = px.join(box_sum(flagged, frames, "_bgi", k, "_s"), ["leaf_id", "y", "x"])
+    parts = []
+    for row in sized.select("_k").distinct().orderBy("_k").collect():
+        k = row["_k"]
+        own = sized.where(F.col("_k") == k).drop("_k")
+        summed = box_sum(flagged.join(own.select("leaf_id"), "leaf_id", "left_semi"), own, "_bgi", k, "_s")
+        parts.append(summed.withColumn("_alpha", F.rint(F.col("_s") / (k * k)) / 255.0).drop("_s"))
+    if not parts:
+        return px.limit(0), share
+    alpha = parts[0]
+    for part in parts[1:]:
+        alpha = alpha.unionByName(part)
+    soft = px.join(alpha, ["leaf_id", "y", "x"])
     return soft.withColumns(
-        {c: F.floor(F.col(c) * (1.0 - alpha) + 255.0 * alpha).cast("int") for c in "rgb"}
-    ).drop("_s"), share
+        {c: F.floor(F.col(c) * (1.0 - F.col("_alpha")) + 255.0 * F.col("_alpha")).cast("int") for c in "rgb"}
+    ).drop("_alpha"), share
 
 
 # --------------------------------------------------------------------------

@@ -34,7 +34,7 @@ def _hull_sql():
 @query(_hull_sql())
 def convex_hull_fill(spark, sf):
     t, _ = tissue(spark, sf)
-    return digest(G.convex_hull(t, SIDE))
+    return digest(G.convex_hull(t))
 
 
 def _roi_sql():
@@ -50,24 +50,24 @@ def _roi_sql():
 @query(_roi_sql())
 def region_by_hull(spark, sf):
     t, fr = tissue(spark, sf)
-    return digest(G.expand_roi(t, "hull", fr, SIDE))
+    return digest(G.expand_roi(t, "hull", fr))
 
 
 @query()
 def contour_pixels(spark, sf):
     t, _ = tissue(spark, sf)
-    return G.contour_lengths(G.contour(t, SIDE))
+    return G.contour_lengths(G.contour(t))
 
 
 @query()
 def leaf_morphology(spark, sf):
     t, _ = tissue(spark, sf)
-    return G.classify_morphology(t, SIDE)
+    return G.classify_morphology(t)
 
 
 def _curved(spark, sf):
     t, fr = tissue(spark, sf)
-    cnt = cut_lineage(G.contour(t, SIDE))
+    cnt = cut_lineage(G.contour(t))
     pts = cut_lineage(G.curvature(G.resample(cnt)))
     return t, fr, cnt, pts
 
@@ -83,18 +83,20 @@ def contour_curvature(spark, sf):
 @query()
 def hull_defects(spark, sf):
     t, _ = tissue(spark, sf)
-    big = cut_lineage(C.largest(t, SIDE))
-    return G.convexity_defects(G.contour(big, SIDE), G.hull_vertices(big))
+    big = cut_lineage(C.largest(t))
+    return G.convexity_defects(G.contour(big), G.hull_vertices(big))
 
 
 @query()
 def edge_gaps(spark, sf):
-    t, _, cnt, pts = _curved(spark, sf)
+    t, fr, cnt, pts = _curved(spark, sf)
     thr = cut_lineage(G.k_threshold(pts))
     gaps = cut_lineage(G.gap_candidates(pts, thr))
-    defects = G.convexity_defects(cnt, G.hull_vertices(C.largest(t, SIDE)))
+    defects = G.convexity_defects(cnt, G.hull_vertices(C.largest(t)))
     depths = G.match_defects(gaps, pts, defects, 20.0)
-    return G.score_gaps(gaps, pts, thr, depths, min_depth=2.0)
+    return G.score_gaps(
+        gaps, pts, thr, depths, min_depth=2.0, excluded=G.exclusion_zones(t, fr), morphology=G.classify_morphology(t)
+    )
 
 
 def _pet_sql():
@@ -114,13 +116,13 @@ def petiole_rows(spark, sf):
 @query()
 def tip_and_petiole_zones(spark, sf):
     t, fr = tissue(spark, sf)
-    return digest(G.exclusion_zones(t, fr, max_height=SIDE))
+    return digest(G.exclusion_zones(t, fr))
 
 
 @query()
 def open_margin_bites(spark, sf):
     t, fr = tissue(spark, sf)
-    return digest(G.bite_gaps(t, fr, 1.5, 4, max_height=SIDE))
+    return digest(G.bite_gaps(t, fr, 1.5, 4))
 
 
 _TRI = "select p_partkey leaf_id, 0 tri_id, cast(p_partkey%30 as int) sx, cast(p_partkey%7 as int) sy, cast(p_partkey%11 as int) ex, cast(10+p_partkey%13 as int) ey, cast(12+p_partkey%19 as int) fx, cast(5+p_partkey%23 as int) fy from part"
@@ -163,10 +165,10 @@ def _refine_sql(holes):
 @query(_refine_sql(False))
 def leaf_refine_complete(spark, sf):
     t, fr = tissue(spark, sf)
-    return digest(G.refine_leaf_mask(t, fr, "complete", max_height=SIDE))
+    return digest(G.refine_leaf_mask(t, fr, "complete"))
 
 
 @query(_refine_sql(True))
 def leaf_refine_perforated(spark, sf):
     t, fr = tissue(spark, sf)
-    return digest(G.refine_leaf_mask(t, fr, "perforated", max_height=SIDE))
+    return digest(G.refine_leaf_mask(t, fr, "perforated"))

@@ -168,7 +168,7 @@ def _norm_sql():
 
 @query(_norm_sql())
 def background_whitening(spark, sf):
-    out, share = P.normalise_bg(fx.leaf_px(spark, sf), fx.leaf_frames(spark, sf), side=SIDE)
+    out, share = P.normalise_bg(fx.leaf_px(spark, sf), fx.leaf_frames(spark, sf))
     return out.groupBy("leaf_id").agg(
         F.sum("r").cast("long").alias("r"), F.sum("g").cast("long").alias("g"), F.sum(F.col("b") * F.col("x")).cast("long").alias("bx")
     ).join(share, "leaf_id")
@@ -219,7 +219,7 @@ def _maxd_sql():
 @query(_maxd_sql())
 def component_depth(spark, sf):
     t, fr = tissue(spark, sf)
-    return P.max_depth2(cut_lineage(C.components(t, 8, SIDE)), fr)
+    return P.max_depth2(cut_lineage(C.components(t, 8)), fr)
 
 
 @query(
@@ -287,7 +287,7 @@ def _wb_sql():
 
 @query(_wb_sql())
 def leaf_on_white(spark, sf):
-    m, _ = D.leaf_mask_whitebg(fx.leaf_px(spark, sf), fx.leaf_frames(spark, sf), max_ratio=0.3, max_height=SIDE)
+    m, _ = D.leaf_mask_whitebg(fx.leaf_px(spark, sf), fx.leaf_frames(spark, sf), max_ratio=0.3)
     return digest(m)
 
 
@@ -303,7 +303,7 @@ def _wbm_sql():
 
 @query(_wbm_sql())
 def leaf_on_white_report(spark, sf):
-    _, meta = D.leaf_mask_whitebg(fx.leaf_px(spark, sf), fx.leaf_frames(spark, sf), fill=True, max_height=SIDE)
+    _, meta = D.leaf_mask_whitebg(fx.leaf_px(spark, sf), fx.leaf_frames(spark, sf), fill=True)
     return meta
 
 
@@ -316,17 +316,17 @@ def _partial_sql(gentle):
 
 @query(_partial_sql(False))
 def partial_leaf(spark, sf):
-    return digest(D.partial_mask(fx.leaf_px(spark, sf), fx.leaf_frames(spark, sf), max_height=SIDE))
+    return digest(D.partial_mask(fx.leaf_px(spark, sf), fx.leaf_frames(spark, sf)))
 
 
 @query(_partial_sql(True))
 def partial_leaf_gentle(spark, sf):
-    return digest(D.partial_mask(fx.leaf_px(spark, sf), fx.leaf_frames(spark, sf), gentle=True, max_height=SIDE))
+    return digest(D.partial_mask(fx.leaf_px(spark, sf), fx.leaf_frames(spark, sf), gentle=True))
 
 
 @query()
 def intact_leaf(spark, sf):
-    return digest(D.leaf_mask_intact(fx.leaf_px(spark, sf), fx.leaf_frames(spark, sf), max_height=SIDE))
+    return digest(D.leaf_mask_intact(fx.leaf_px(spark, sf), fx.leaf_frames(spark, sf)))
 
 
 # a blue dot on every leaf: the frass block widened and painted blue
@@ -354,7 +354,7 @@ def _blue_sql():
 def blue_mark_removal(spark, sf):
     px = _blue_px(spark, sf)
     m = R.to_runs(fx.leaf_px(spark, sf).where(f"tissue = 1 or {_BLUE}"))
-    return digest(D.remove_blue(m, R.pick(D.colour_layers(px, blue=K.is_blue()), "blue"), max_height=SIDE))
+    return digest(D.remove_blue(m, R.pick(D.colour_layers(px, blue=K.is_blue()), "blue")))
 
 
 def _reest_sql():
@@ -372,7 +372,7 @@ def _reest_sql():
 def mask_reestimation(spark, sf):
     px = fx.leaf_px(spark, sf)
     m = R.to_runs(px.where("sil = 1 or leaf_id % 2 = 0"))
-    return digest(D.reestimate_mask(m, px, fx.leaf_frames(spark, sf), max_height=SIDE)[0])
+    return digest(D.reestimate_mask(m, px, fx.leaf_frames(spark, sf))[0])
 
 
 def _halo_sql():
@@ -387,7 +387,7 @@ def _halo_sql():
 def halo_trim(spark, sf):
     t, fr = tissue(spark, sf)
     fol = R.pick(D.colour_layers(fx.leaf_px(spark, sf), fol=K.is_foliage()), "fol")
-    return digest(D.trim_halo(R.dilate_square(t, 3, fr), fol, fr, SIDE))
+    return digest(D.trim_halo(R.dilate_square(t, 3, fr), fol, fr))
 
 
 def _paper_sql():
@@ -417,7 +417,7 @@ def _clipc_sql():
 def colour_silhouette_clip(spark, sf):
     px, fr = fx.leaf_px(spark, sf), fx.leaf_frames(spark, sf)
     m = R.dilate_square(R.to_runs(px.where("sil = 1")), 7, fr)
-    return digest(D.clip_colour(m, px, fr, max_height=SIDE))
+    return digest(D.clip_colour(m, px, fr))
 
 
 def _whiten_sql():
@@ -435,7 +435,7 @@ def hole_repaint(spark, sf):
     t, fr = tissue(spark, sf)
     lay = D.colour_layers(fx.leaf_px(spark, sf), dark=(F.col("gray") < 200) & ~K.is_foliage(), murky=(F.col("val") < 95) & (F.col("sat") < 55))
     lay = cut_lineage(lay)
-    return digest(D.whiten_holes(t, R.pick(lay, "dark"), R.pick(lay, "murky"), fr, max_height=SIDE))
+    return digest(D.whiten_holes(t, R.pick(lay, "dark"), R.pick(lay, "murky"), fr))
 
 
 def _holes_at(s, filled, roi, bright):
@@ -463,18 +463,18 @@ def _wh_sql():
 @query(_wh_sql())
 def white_hole_detection(spark, sf):
     t, fr = tissue(spark, sf)
-    filled = cut_lineage(C.fill_holes(t, fr, SIDE))
+    filled = cut_lineage(C.fill_holes(t, fr))
     lay = cut_lineage(D.colour_layers(fx.leaf_px(spark, sf), fol=K.is_foliage(), white=K.is_white(235)))
     bright = R.mask_and(R.pick(lay, "white"), filled)
     inner = P.deeper_than(filled, fr, 2.0)
-    return digest(D.white_holes(bright, R.pick(lay, "fol"), inner, fr, max_height=SIDE))
+    return digest(D.white_holes(bright, R.pick(lay, "fol"), inner, fr))
 
 
 @query()
 def automatic_brightness(spark, sf):
     t, fr = tissue(spark, sf)
-    filled = cut_lineage(C.fill_holes(t, fr, SIDE))
-    used, holes = D.auto_brightness(fx.leaf_px(spark, sf), filled, filled, fr, max_height=SIDE)
+    filled = cut_lineage(C.fill_holes(t, fr))
+    used, holes = D.auto_brightness(fx.leaf_px(spark, sf), filled, filled, fr)
     return used.join(R.area(holes, "hole_px"), "leaf_id", "left").fillna(0, ["hole_px"])
 
 
@@ -496,8 +496,8 @@ def _sup_sql():
 @query(_sup_sql())
 def scraped_tissue(spark, sf):
     t, fr = tissue(spark, sf)
-    filled = cut_lineage(C.fill_holes(t, fr, SIDE))
-    return digest(D.superficial(fx.leaf_px(spark, sf), filled, filled, fr, min_area=5, max_height=SIDE)[0])
+    filled = cut_lineage(C.fill_holes(t, fr))
+    return digest(D.superficial(fx.leaf_px(spark, sf), filled, filled, fr, min_area=5)[0])
 
 
 def _contrast_sql(s, n):
@@ -520,8 +520,8 @@ def _fg_sql():
 @query(_fg_sql())
 def frass_pellets(spark, sf):
     t, fr = tissue(spark, sf)
-    filled = cut_lineage(C.fill_holes(t, fr, SIDE))
-    return digest(D.frass_global(fx.leaf_px(spark, sf), filled, t, fr, lo=2, max_height=SIDE))
+    filled = cut_lineage(C.fill_holes(t, fr))
+    return digest(D.frass_global(fx.leaf_px(spark, sf), filled, t, fr, lo=2))
 
 
 def _fd_sql():
@@ -540,7 +540,7 @@ def _fd_sql():
 def frass_on_damage(spark, sf):
     m, fr = leaves(spark, sf, t="tissue=1", d="cls=1 or (cls=2 and (x+y)%2=0)")
     t = R.pick(m, "t")
-    return digest(D.frass_in_damage(fx.leaf_px(spark, sf), R.pick(m, "d"), t, t, fr, lo=1, max_height=SIDE))
+    return digest(D.frass_in_damage(fx.leaf_px(spark, sf), R.pick(m, "d"), t, t, fr, lo=1))
 
 
 def _fp_sql():
@@ -590,8 +590,8 @@ def _sp_sql():
 @query(_sp_sql())
 def perimeter_strip(spark, sf):
     m, fr = leaves(spark, sf, t="tissue=1", d="(dmg=1 or (sil=1 and (x+y)%7<2) or hole=1)")
-    filled = cut_lineage(C.fill_holes(R.pick(m, "t"), fr, SIDE))
-    return digest(X.strip_perimeter(R.pick(m, "d"), cut_lineage(X.shells(filled, fr)), SIDE))
+    filled = cut_lineage(C.fill_holes(R.pick(m, "t"), fr))
+    return digest(X.strip_perimeter(R.pick(m, "d"), cut_lineage(X.shells(filled, fr))))
 
 
 def _ea_sql():
@@ -613,7 +613,7 @@ def edge_artifact_filter(spark, sf):
     px = fx.leaf_px(spark, sf)
     fr = fx.leaf_frames(spark, sf)
     cls = px.selectExpr("leaf_id", "y", "x", "case when cls=1 or (sil=1 and y%6<2 and tissue=1) then 1 else cls end cls")
-    out, _ = X.filter_edge_artifacts(cls, R.to_runs(px.where("tissue = 1")), fr, max_height=SIDE)
+    out, _ = X.filter_edge_artifacts(cls, R.to_runs(px.where("tissue = 1")), fr)
     return out.groupBy("leaf_id", "cls").agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("y")).cast("long").alias("sum_xy"))
 
 
@@ -626,15 +626,15 @@ def _marg_sql():
 @query(_marg_sql())
 def marginal_damage(spark, sf):
     m, fr = leaves(spark, sf, t="tissue=1", r="sil=1", c="dmg=1")
-    return digest(X.marginal(R.pick(m, "t"), R.pick(m, "r"), R.pick(m, "c"), fr, max_height=SIDE))
+    return digest(X.marginal(R.pick(m, "t"), R.pick(m, "r"), R.pick(m, "c"), fr))
 
 
 def _metrics(spark, sf, **kw):
     px, fr = fx.leaf_px(spark, sf), fx.leaf_frames(spark, sf)
     t = cut_lineage(R.to_runs(px.where("tissue = 1")))
-    roi = cut_lineage(C.fill_holes(t, fr, SIDE))
+    roi = cut_lineage(C.fill_holes(t, fr))
     classes = cut_lineage(R.to_runs(px.where("cls <> 0"), keys=("leaf_id", "cls")))
-    return X.leaf_metrics(px, classes, t, roi, fr, superficial_min_area=5, frass_min_area=2, max_height=SIDE, **kw)
+    return X.leaf_metrics(px, classes, t, roi, fr, superficial_min_area=5, frass_min_area=2, **kw)
 
 
 @query()

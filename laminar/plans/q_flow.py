@@ -57,7 +57,7 @@ def _sil_sql():
 def silhouette_loss(spark, sf):
     m, fr = leaves(spark, sf, t="tissue=1")
     t = R.pick(m, "t")
-    return M.silhouette_damage(R.area(C.fill_holes(t, fr, SIDE)), R.area(t))
+    return M.silhouette_damage(R.area(C.fill_holes(t, fr)), R.area(t))
 
 
 @query(
@@ -90,4 +90,4 @@ def box_and_point_hints(spark, sf):
     fr = fx.leaf_frames(spark, sf)
     boxes = fr.where("leaf_id % 2 = 1").selectExpr("leaf_id", "10 bx0", "10 by0", "22 bx1", "22 by1")
     points = fr.where("leaf_id % 3 = 0").selectExpr("leaf_id", "16 px", "12 py")
-    return digest(J.apply_priors(cut_lineage(m), boxes, points, fr, 0.25, SIDE))
+    return digest(J.apply_priors(cut_lineage(m), boxes, points, fr, 0.25))

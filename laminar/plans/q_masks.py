@@ -150,13 +150,13 @@ def closing_adaptive(spark, sf):
 @query(_op(lambda s: s.fill(s.layer("tissue=1"))))
 def hole_filling(spark, sf):
     t, fr = tissue(spark, sf)
-    return digest(C.fill_holes(t, fr, SIDE))
+    return digest(C.fill_holes(t, fr))
 
 
 @query(_op(lambda s: s.both(s.holes(s.layer("tissue=1")), s.layer("sil=1"))))
 def internal_holes(spark, sf):
     m, fr = leaves(spark, sf, tissue="tissue=1", sil="sil=1")
-    return digest(C.internal_holes(R.pick(m, "tissue"), R.pick(m, "sil"), fr, SIDE))
+    return digest(C.internal_holes(R.pick(m, "tissue"), R.pick(m, "sil"), fr))
 
 
 # second mask used as "the other model's answer": the silhouette shifted by 2
@@ -307,7 +307,7 @@ def _stats_sql():
 @query(_stats_sql())
 def component_statistics(spark, sf):
     t, fr = tissue(spark, sf)
-    return C.component_stats(C.components(t, 8, SIDE), fr)
+    return C.component_stats(C.components(t, 8), fr)
 
 
 def _labels4_sql():
@@ -324,7 +324,7 @@ def components_4_connected(spark, sf):
 
 @query(_op(lambda s: s.largest(s.layer("tissue=1"))))
 def largest_component(spark, sf):
-    return digest(C.largest(tissue(spark, sf)[0], SIDE))
+    return digest(C.largest(tissue(spark, sf)[0]))
 
 
 def _at_sql(fallback):
@@ -346,7 +346,7 @@ def _at(spark, sf, fallback):
     px = fx.leaf_px(spark, sf)
     m = R.to_runs(px.where("cls in (1, 2) or bite = 1"))
     pts = fx.leaf_frames(spark, sf).select("leaf_id", F.lit(16).alias("px"), F.lit(20).alias("py"))
-    return digest(C.component_at(m, pts, fallback, SIDE))
+    return digest(C.component_at(m, pts, fallback))
 
 
 @query(_at_sql("largest"))
@@ -367,7 +367,7 @@ def component_at_point_empty(spark, sf):
 @query(_op(lambda s: s.sized(s.layer("hole=1 or bite=1 or frass=1"), 4, 25)))
 def component_area_range(spark, sf):
     px = fx.leaf_px(spark, sf)
-    return digest(C.filter_components(R.to_runs(px.where("hole=1 or bite=1 or frass=1")), 4, 25, max_height=SIDE))
+    return digest(C.filter_components(R.to_runs(px.where("hole=1 or bite=1 or frass=1")), 4, 25))
 
 
 def _small_sql():
@@ -389,7 +389,7 @@ def _rs_sql():
 @query(_rs_sql())
 def small_component_removal(spark, sf):
     t, fr = tissue(spark, sf)
-    return digest(C.remove_small(t, fr, max_height=SIDE))
+    return digest(C.remove_small(t, fr))
 
 
 def _inst_sql():
@@ -406,7 +406,7 @@ def _inst_sql():
 def leaf_instance_numbering(spark, sf):
     px = fx.leaf_px(spark, sf)
     m = R.to_runs(px.where("hole=1 or frass=1 or (dmg=1 and sil=1)"))
-    return C.leaf_instances(m, 3, 2, SIDE).select("leaf_id", "comp", "area", "rx", "ry", "leaf_index")
+    return C.leaf_instances(m, 3, 2).select("leaf_id", "comp", "area", "rx", "ry", "leaf_index")
 
 
 def _frag_sql():
@@ -423,7 +423,7 @@ def _frag_sql():
 @query(_frag_sql())
 def tissue_fragments(spark, sf):
     m = R.to_runs(fx.leaf_px(spark, sf).where("tissue = 1 and y % 11 <> 5"))
-    return digest(C.split_fragments(m, fx.leaf_frames(spark, sf), SIDE))
+    return digest(C.split_fragments(m, fx.leaf_frames(spark, sf)))
 
 
 def _island_sql():
@@ -439,4 +439,4 @@ def _island_sql():
 @query(_island_sql())
 def untouched_islands(spark, sf):
     m, fr = leaves(spark, sf, full="sil=1 or frass=1 or (x>28 and y>28)", part="sil=1 and hole=0 and x < 20")
-    return digest(C.drop_islands(R.pick(m, "full"), R.pick(m, "part"), fr, SIDE))
+    return digest(C.drop_islands(R.pick(m, "full"), R.pick(m, "part"), fr))

@@ -386,30 +386,31 @@ _CIRC = """select concat('P', cast(l_orderkey as varchar(20))) image_id, cast(l_
  max(l_quantity) diameter_px, max(l_quantity*3) area_px, cast(max(round(l_discount*10)) as double)/2 score from lineitem group by l_orderkey, l_linenumber"""
 
 
+_IMAGES = "select concat('P', cast(o_orderkey as varchar(20))) image_id from orders"
+
+
 @query(
-    f"""select image_id, method, diameter_px, area_px, score, score<0.45 low_confidence, round(6.0/diameter_px,10) mm_per_px, round(pi()*9.0/area_px,10) mm2_per_px2
- from ({_CIRC}) qualify row_number() over (partition by image_id order by score desc, method_rank)=1"""
+    f"""select image_id, method is not null found, method, diameter_px, area_px, score, coalesce(score<0.45, true) low_confidence, round(6.0/diameter_px,10) mm_per_px,
+ round(pi()*9.0/area_px,10) mm2_per_px2 from ({_IMAGES}) left join (select * from ({_CIRC}) qualify row_number() over (partition by image_id order by score desc, method_rank)=1) using (image_id)"""
 )
 def best_reference_circle(spark, sf):
-    out = M.best_circle(sql(spark, sf, _CIRC))
+    out = M.best_circle(sql(spark, sf, _CIRC), sql(spark, sf, _IMAGES))
     return out.withColumn("mm_per_px", F.bround("mm_per_px", 10)).withColumn("mm2_per_px2", F.bround("mm2_per_px2", 10))
 
 
 _CANDS = """select l_orderkey leaf_id, cast(l_linenumber-1 as int) priority, concat('c', cast(l_linenumber as varchar(20))) "name", max(cast(l_quantity as bigint)) area
- from lineitem where l_linenumber<=4 group by l_orderkey, l_linenumber"""
+ from lineitem group by l_orderkey, l_linenumber"""
 
 
 @query(
-    f"""with c as (select leaf_id, max("name") filter (priority=0) n0, max("name") filter (priority=1) n1, max("name") filter (priority=2) n2, max("name") filter (priority=3) n3,
-  max(area) filter (priority=0) a0, max(area) filter (priority=1) a1, max(area) filter (priority=2) a2, max(area) filter (priority=3) a3 from ({_CANDS}) group by leaf_id having count(*)=4),
- s1 as (select *, case when a0>=30 then n0 else n1 end n, case when a0>=30 then a0 else a1 end a from c),
- s2 as (select *, case when a>=30 or a2<=a then n else n2 end m, case when a>=30 or a2<=a then a else a2 end b from s1)
- select leaf_id, case when b>=30 or a3<=b then m else n3 end chosen, case when b>=30 or a3<=b then b else a3 end area from s2"""
+    f"""with recursive c as (select *, row_number() over (partition by leaf_id order by priority) k from ({_CANDS})),
+ f as (select leaf_id, k, "name" chosen, area from c where k=1
+  union all select f.leaf_id, c.k, case when f.area>=30 or not (c.priority=1 or c.area>f.area) then f.chosen else c."name" end,
+   case when f.area>=30 or not (c.priority=1 or c.area>f.area) then f.area else c.area end from f join c on c.leaf_id=f.leaf_id and c.k=f.k+1)
+ select leaf_id, arg_max(chosen, k) chosen, arg_max(area, k) area from f group by leaf_id"""
 )
 def mask_fallback_choice(spark, sf):
-    c = sql(spark, sf, _CANDS.replace('"name"', "name"))
-    whole = c.groupBy("leaf_id").agg(F.count("*").alias("n")).where("n = 4").select("leaf_id")
-    return M.choose_mask(c.join(whole, "leaf_id", "left_semi"), 30)
+    return M.choose_mask(sql(spark, sf, _CANDS.replace('"name"', "name")), 30)
 
 
 @query(f"select image_id from ({SEG_META}) m where (not found or low_confidence) and image_id not in (select image_id from ({OVERRIDES}))")
