@@ -440,3 +440,24 @@ def _island_sql():
 def untouched_islands(spark, sf):
     m, fr = leaves(spark, sf, full="sil=1 or frass=1 or (x>28 and y>28)", part="sil=1 and hole=0 and x < 20")
     return digest(C.drop_islands(R.pick(m, "full"), R.pick(m, "part"), fr))
+
+
+# One row per scan line in closed form: a ribbon of 2 400 lines and more, cut every 400 lines.
+_RIBBON = "select s_suppkey leaf_id, cast(2400+s_suppkey%500 as int) h from supplier"
+
+
+@query(
+    f"""select leaf_id, (y//400)*400 as y0, count(*)::bigint n_lines, sum(3+y%2)::bigint area from ({_RIBBON}) r, range(0,3000) q(y)
+ where y<h and y%400<>399 group by 1,2"""
+)
+def components_of_tall_pictures(spark, sf):
+    from .q_tables import sql
+
+    lines = sql(spark, sf, _RIBBON).withColumn("y", F.explode(F.expr("sequence(0, h - 1)"))).where("y % 400 <> 399")
+    x0 = F.expr("cast(10 + (y div 7) % 2 as int)")
+    runs = lines.select("leaf_id", "y", x0.alias("x0"), (x0 + 3 + F.expr("cast(y % 2 as int)")).alias("x1"))
+    return (
+        C.components(runs).groupBy("leaf_id", "comp")
+        .agg(F.min("y").cast("long").alias("y0"), F.count("*").alias("n_lines"), F.sum(F.col("x1") - F.col("x0")).cast("long").alias("area"))
+        .drop("comp")
+    )

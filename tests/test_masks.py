@@ -76,10 +76,9 @@ def test_round_trip_and_complement(runs, frames):
 
 
 @pytest.mark.parametrize("conn", [4, 8])
-@pytest.mark.parametrize("height", [None, H])
-def test_components_match_flood_fill(runs, conn, height):
+def test_components_match_flood_fill(runs, conn):
     got = {}
-    for r in C.components(runs, conn, height).collect():
+    for r in C.components(runs, conn).collect():
         got.setdefault(r.leaf_id, {}).setdefault(r.comp, set()).update((r.y, x) for x in range(r.x0, r.x1))
     for k, m in MASKS.items():
         assert sorted(map(sorted, got[k].values())) == sorted(map(sorted, flood(m, conn)))
