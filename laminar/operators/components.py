@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..session import cut_lineage
-from .runs import SPAN, clip_to_frame, combine, keys_of, mask_not, merge
+from .runs import SPAN, combine, keys_of, mask_not, merge
 
 BAND_ROWS = 1024
 STRIDE = 1 << 21  # component ids are y * STRIDE + x of the first pixel

@@ -8,12 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions import numeric as Q
 from ..session import cut_lineage
 from . import components as C
-from .runs import (
-    SPAN, area, combine, dilate, ellipse_kernel, keys_of, mask_and, mask_or, merge, morph_close, row_profile, to_runs,
-)
+from .runs import SPAN, area, combine, dilate, ellipse_kernel, mask_or, merge, row_profile
 
 N_POINTS = 512
 # Weights of the five gap signals.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import colour as K
-from .runs import SPAN, combine, dilate, disk_kernel, keys_of, mask_not, merge, to_pixels, to_runs
+from .runs import SPAN, combine, dilate, disk_kernel, keys_of, mask_not, merge, to_runs
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -8,8 +8,6 @@ from ..operators import components as C
 from ..operators import contour as G
 from ..operators import runs as R
 from ..session import cut_lineage, table
-from . import fixtures as fx
-from .fixtures import SIDE
 from .oracle import Steps
 from .q_masks import digest, tissue
 from .registry import query
@@ -139,7 +137,14 @@ def triangle_fill(spark, sf):
     return digest(G.triangle_runs(sql(spark, sf, _TRI)))
 
 
-@query()
+@query(
+    """with recursive c as (select l_orderkey leaf_id, cast(l_linenumber as bigint) cand_id, max(l_discount) depth, cast(max(l_quantity) as bigint) area from lineitem group by 1,2),
+ o as (select *, row_number() over (partition by leaf_id order by depth desc, area desc, cand_id) k, 30+leaf_id%50 budget from c),
+ f as (select leaf_id, k, cand_id, area<=budget taken, case when area<=budget then area else 0 end used from o where k=1
+  union all select o.leaf_id, o.k, o.cand_id, f.used+o.area<=o.budget, f.used + case when f.used+o.area<=o.budget then o.area else 0 end
+  from f join o on o.leaf_id=f.leaf_id and o.k=f.k+1)
+ select leaf_id, cand_id from f where taken"""
+)
 def budgeted_fill(spark, sf):
     li = table(spark, sf, "lineitem")
     cands = li.groupBy(F.col("l_orderkey").alias("leaf_id"), F.col("l_linenumber").cast("long").alias("cand_id")).agg(

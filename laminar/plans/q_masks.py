@@ -9,7 +9,6 @@ from ..operators import components as C
 from ..operators import runs as R
 from ..session import cut_lineage
 from . import fixtures as fx
-from .fixtures import SIDE
 from .oracle import Steps
 from .registry import query
 
@@ -453,7 +452,7 @@ _RIBBON = "select s_suppkey leaf_id, cast(2400+s_suppkey%500 as int) h from supp
 def components_of_tall_pictures(spark, sf):
     from .q_tables import sql
 
-    lines = sql(spark, sf, _RIBBON).withColumn("y", F.explode(F.expr("sequence(0, h - 1)"))).where("y % 400 <> 399")
+    lines = sql(spark, sf, _RIBBON, "supplier").withColumn("y", F.explode(F.expr("sequence(0, h - 1)"))).where("y % 400 <> 399")
     x0 = F.expr("cast(10 + (y div 7) % 2 as int)")
     runs = lines.select("leaf_id", "y", x0.alias("x0"), (x0 + 3 + F.expr("cast(y % 2 as int)")).alias("x1"))
     return (

@@ -33,9 +33,9 @@ OVERRIDES = """select concat('P', cast(c_custkey as varchar(20))) image_id,
   case when c_custkey%12=1 then cast(0.0 as double) else cast(25+c_custkey%20 as double) end diameter_px
  from customer where c_custkey%6=1"""
 EDITS = """select concat('P', cast(user_id as varchar(20)), '.png') image_name, event_id seq, event_type op, cast(floor(value) as bigint) damage_px from events"""
-TRAINING = """select case when p_partkey%3=0 then 'big' else 'small' end dataset, concat(case when p_partkey%3=0 then 'big_' when p_partkey%3=1 then 'small_' else '' end, 'leaf', cast(p_partkey%200 as varchar(20)),
+TRAINING = """select case when p_partkey%3=0 then 'big' else 'small' end dataset, concat(case when p_partkey%3=0 then 'big_' when p_partkey%3=1 then 'small_' else '' end, 'leaf', cast(cast(floor(p_partkey/8) as bigint) as varchar(20)),
   case cast(p_partkey%6 as int) when 1 then '_r90' when 2 then '_r180' when 3 then '_r270' when 4 then '_fh' when 5 then '_fv' else '' end,
-  '_v0', cast(p_partkey%8 as varchar(20))) stem, concat('leaf', cast(p_partkey%200 as varchar(20))) expected_leaf_id from part"""
+  '_v0', cast(p_partkey%8 as varchar(20))) stem, concat('leaf', cast(cast(floor(p_partkey/8) as bigint) as varchar(20))) expected_leaf_id from part"""
 # names in every shape the parsers meet
 STEMS = """select o_orderkey k, concat(case when o_orderkey%4=0 then '' else 'IMG_' end, cast(o_orderkey as varchar(20)),
   case cast(o_orderkey%8 as int) when 1 then '_white_bg' when 2 then '_WHITE_BG' when 3 then '_white_bg_leaf_03_white_bg' when 4 then '_leaf_2' when 5 then '_art_nicks' when 6 then '_White_Bg_leaf_1' else '' end) stem,
@@ -227,7 +227,7 @@ def images_without_mask(spark, sf):
     return J.pair_images_masks(sql(spark, sf, _IMGS), sql(spark, sf, _MSKS))[1].select("leaf_id", "image_name")
 
 
-_EXTN = """select concat('L', cast(o_orderkey%500 as varchar(20)), case cast(o_custkey%6 as int) when 0 then '.webp' when 1 then '.PNG' when 2 then '.jpg' when 3 then '.tif' when 4 then '.heic' else '' end) "name" from orders"""
+_EXTN = """select concat('L', cast(cast(floor(o_orderkey/6) as bigint) as varchar(20)), case cast(o_custkey%6 as int) when 0 then '.webp' when 1 then '.PNG' when 2 then '.jpg' when 3 then '.tif' when 4 then '.heic' else '' end) "name" from orders"""
 
 
 @query(
@@ -318,11 +318,11 @@ def measurement_export(spark, sf):
 
 
 @query(
-    """select p.p_partkey, concat('P', p_partkey%97) photo_id, c.d diameter_px from part p left join
- (select concat('P', s_suppkey) photo_id, (20+s_suppkey%9)::double d from supplier) c on c.photo_id=concat('P', p.p_partkey%97)"""
+    """select p.p_partkey, concat('P', cast(floor(p_partkey/20) as bigint)) photo_id, c.d diameter_px from part p left join
+ (select concat('P', s_suppkey) photo_id, (20+s_suppkey%9)::double d from supplier) c on c.photo_id=concat('P', cast(floor(p.p_partkey/20) as bigint))"""
 )
 def photo_circle_for_leaves(spark, sf):
-    leaves = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("P"), F.col("p_partkey") % 97).alias("photo_id"))
+    leaves = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("P"), F.expr("cast(floor(p_partkey/20) as bigint)")).alias("photo_id"))
     circles = table(spark, sf, "supplier").select(F.concat(F.lit("P"), "s_suppkey").alias("photo_id"), (20 + F.col("s_suppkey") % 9).cast("double").alias("diameter_px"))
     return J.photo_circle_to_leaves(leaves, circles)
 
