@@ -30,11 +30,29 @@ def sidecars(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     )
 
 
-@query()
+#: Text with A-Z in lower case, in SQL.
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP5_SQL = f"""
+with recursive d as (select doc_id, regexp_extract_all({LOWER_SQL}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select distinct doc_id, md5(array_to_string(w[i:i+4], ' ')) as h
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 75 * (nx.n + ny.n - c)),
+e as (select x, y from l union all select y, x from l),
+r as (select doc_id as x, doc_id as y from d union select r.x, e.y from r join e on r.y = e.x)
+select d.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(r.y) as component_id, d.doc_id = min(r.y) as kept
+from d join r on r.x = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id
+"""
+
+
+@query(OP5_SQL)
 def op5_minhash_near_dedup(spark, sf_dir):
     from .minhash import near_duplicates
 
-    return near_duplicates(sidecars(spark, sf_dir)).withColumnRenamed("image_id", "doc_id")
+    found = near_duplicates(sidecars(spark, sf_dir)).withColumnRenamed("image_id", "doc_id")
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def held_out_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +80,23 @@ def op1_best_fit_packing(spark, sf_dir):
     return pack_sidecars(sidecars(spark, sf_dir), vocabulary()).withColumnRenamed("image_id", "doc_id")
 
 
-@query()
+OP8_SQL = f"""
+with d as (select doc_id, regexp_extract_all({LOWER_SQL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+b as (select item_id, w, least(10, len(w)) as m from (
+  select item_id, regexp_extract_all({LOWER_SQL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark) where len(w) > 0),
+win as (select distinct item_id, m, array_to_string(w[i:i+m-1], ' ') as t from (select *, unnest(range(1, len(w) - m + 2)) as i from b)),
+dw as (select doc_id, i, m, array_to_string(w[i:i+m-1], ' ') as t
+  from (select doc_id, w, m, unnest(range(1, greatest(len(w) - m + 2, 1))) as i from d, (select distinct m from b))),
+h as (select doc_id, i, m, item_id from dw join win using (m, t)),
+pos as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + m)) as p from h) group by doc_id),
+it as (select doc_id, count(*) as n, string_agg(i, ',' order by i) as ids from (select distinct doc_id, cast(item_id as varchar) as i from h) group by doc_id)
+select d.doc_id, len(d.w) as n_words, coalesce(pos.n, 0) as n_hit, coalesce(it.n, 0) as n_items,
+  sha256(coalesce(it.ids, '')) as items_sha256, coalesce(pos.n, 0) > 0 as contaminated
+from d left join pos on pos.doc_id = d.doc_id left join it on it.doc_id = d.doc_id
+"""
+
+
+@query(OP8_SQL)
 def op8_benchmark_decontamination(spark, sf_dir):
     from .decontam import find_passages
 
