@@ -1,13 +1,14 @@
 """SQL fragments the comparison queries are put together from.
 
-They work on pixels, not runs, so they share no logic with the operators.
+Masks are pixel sets here; only components and dilation look at runs.
 """
 
 from __future__ import annotations
 
-from ..operators.components import STRIDE
 from .fixtures import leaf_sql
 
+STRIDE = 2097152  # component codes are y * STRIDE + x
+
 
 class Steps:
     """A growing list of named CTEs."""
@@ -30,16 +31,12 @@ class Steps:
     def layer(self, cond: str, src: str = "leaf_px") -> str:
         return self.add(f"select leaf_id, y, x from {src} where {cond}")
 
-    def offsets(self, kernel) -> str:
-        vals = [f"({dy},{dx})" for dy, lo, hi in kernel for dx in range(-lo, hi + 1)]
-        return self.add(f"select * from (values {','.join(vals)}) t(dy,dx)")
-
     def dilate(self, m: str, kernel, times: int = 1) -> str:
-        o = self.offsets(kernel)
+        rows = self.add(f"select * from (values {','.join(map(str, kernel))}) t(dy,lo,hi)")
         for _ in range(times):
             m = self.add(
-                f"select distinct leaf_id, cast(y-dy as int) y, cast(x-dx as int) x from {m}, {o}"
-                f" where y-dy between 0 and {self.h - 1} and x-dx between 0 and {self.w - 1}"
+                f"select distinct leaf_id, cast(y-dy as int) y, cast(q.x as int) x from {self.runs(m)}, {rows},"
+                f" lateral (select unnest(range(greatest(x0-hi, 0), least(x1+lo, {self.w}))) x) q where y-dy between 0 and {self.h - 1}"
             )
         return m
 
