@@ -11,7 +11,6 @@ from ..operators import runs as R
 from ..session import cut_lineage
 from . import fixtures as fx
 from . import flow
-from .fixtures import SIDE
 from .oracle import Steps
 from .q_masks import digest, leaves
 from .q_tables import sql
@@ -38,7 +37,7 @@ def _flow_sql():
 @query(_flow_sql())
 def leaf_damage_results(spark, sf):
     layers = cut_lineage(R.to_runs(fx.leaf_px(spark, sf), {"tissue": F.expr("tissue=1"), "damage": F.expr("cls=1")}))
-    frag = flow.quick_fragments(layers, fx.leaf_frames(spark, sf), SIDE)
+    frag = flow.quick_fragments(layers, fx.leaf_frames(spark, sf))
     named = frag.withColumn("image_name", F.concat(F.lit("P"), F.col("leaf_id"), F.lit("_white_bg.png")))
     return flow.results(named, sql(spark, sf, _SCALE))
 

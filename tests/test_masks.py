@@ -101,9 +101,9 @@ def test_holes(runs, frames):
     for k, m in MASKS.items():
         inner = [g for g in flood(ALL - m, 4) if all(0 < y < H - 1 and 0 < x < W - 1 for y, x in g)]
         want[k] = m.union(*inner) if inner else m
-    filled = C.fill_holes(runs, frames, H)
+    filled = C.fill_holes(runs, frames)
     assert as_sets(filled) == want
-    assert as_sets(C.fill_holes(filled, frames, H)) == want
+    assert as_sets(C.fill_holes(filled, frames)) == want
 
 
 @pytest.mark.parametrize("k", [3, 5])
@@ -137,7 +137,7 @@ def test_depth_is_euclidean(runs, frames):
 
 def test_contour_walks_the_border(runs):
     got = {}
-    for r in G.contour(runs, H).orderBy("leaf_id", "i").collect():
+    for r in G.contour(runs).orderBy("leaf_id", "i").collect():
         got.setdefault(r.leaf_id, []).append((r.py, r.px))
     for k, path in got.items():
         big = max(flood(MASKS[k], 8), key=lambda g: (len(g), -min(g)[0], -min(g)[1]))
@@ -149,11 +149,11 @@ def test_contour_walks_the_border(runs):
 
 
 def test_hull_contains_mask_and_is_idempotent(runs):
-    hull = as_sets(G.convex_hull(runs, H))
+    hull = as_sets(G.convex_hull(runs))
     for k, m in MASKS.items():
         big = max(flood(m, 8), key=lambda g: (len(g), -min(g)[0], -min(g)[1]))
         assert big <= hull[k]
-    again = as_sets(G.convex_hull(G.convex_hull(runs, H), H))
+    again = as_sets(G.convex_hull(G.convex_hull(runs)))
     assert again == hull
 
 
