@@ -388,6 +388,26 @@ def test_model_is_a_distribution():
     assert abs(kraft - 1) < 1e-12
 
 
+def test_decisions_do_not_depend_on_later_text(monkeypatch):
+    """Texts with a common beginning give its decisions the same probability, also inside a row that they share."""
+    paths = mixing.huffman_paths(np.zeros((256, mixing.SYMBOLS), np.int64))
+    known = pa.array([b"the leaf was eaten by a snail at night" * 3], pa.binary())
+    tables = [np.zeros(2 << b, np.uint32) for b in mixing.TABLE_BITS]
+    made = mixing.Decisions(known, paths)
+    for k, table in enumerate(tables):
+        np.add.at(table, made.slots(k) * 2 + made.bit, 9)
+    model = mixing.Model(paths, tables)
+    seen = []
+    monkeypatch.setattr(mixing, "mixed", lambda *a, f=mixing.mixed: seen.append(f(*a)) or seen[-1])
+    begin = b"the leaf was eaten by a snail at "
+    for more in (b"night", b"\x01\x02", b"", b"\xff" * 40):
+        model.score(pa.array([begin + more], pa.binary()))
+    first, length, _, _ = paths
+    before = [mixing.START, *begin[:-1]]
+    n = sum(int(length[a * mixing.SYMBOLS + b]) for a, b in zip(before, begin))
+    assert n % mixing.STRIDE and all(np.allclose(s[:n], seen[0][:n], atol=1e-6) for s in seen)
+
+
 # --- tool calls -------------------------------------------------------------------
 
 LOG = "image_name string, seq int, kind string, edit_id string, after_id string, op string, body string, level string"
