@@ -408,6 +408,39 @@ def test_decisions_do_not_depend_on_later_text(monkeypatch):
     assert n % mixing.STRIDE and all(np.allclose(s[:n], seen[0][:n], atol=1e-6) for s in seen)
 
 
+def test_counts_do_not_blur_on_large_input(spark):
+    """Training text in letters of its own changes nothing for other texts, however many contexts it adds."""
+    rng = random.Random(5)
+    words = ["tree", "trunk", "twig", "tip", "thorn", "tendril", "tuber", "tissue"]
+    rows = [(i, "t" + " ".join(rng.choices(words, k=30)), i % 4 == 0) for i in range(80)]
+    foreign = "t" + "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(700_000))
+    schema = "image_id long, meta_text string, held_out boolean"
+    few, many = (
+        {r.image_id: r.score for r in mixing.score_sidecars(spark.createDataFrame(x, schema)).where("image_id % 4 = 0").collect()}
+        for x in (rows, [*rows, (1001, foreign, False)])
+    )
+    assert few.keys() == many.keys() and all(abs(few[i] - many[i]) < 0.1 for i in few)
+
+
+def test_context_counts_are_exact():
+    texts = pa.array(["abcabd abc", "abd", "", "abcabd" * 9])
+    use = np.array([True, False, True, True])
+    block = mixing.Block(texts)
+    sizes, symbols, counts = block.counts(use)
+    count = Counter()
+    for text, on in zip(texts.to_pylist(), use):
+        for i, symbol in enumerate([*text.encode(), mixing.END] if on else []):
+            before = ([mixing.START] * 6 + list(text.encode()))[i : i + 6]
+            count.update([(*before[-o:], symbol) for o in mixing.ORDERS])
+    got = Counter()
+    owner = np.repeat(block.keys, sizes)
+    for key in {c[:-1] for c in count}:
+        h = mixing._context(np.array(key), np.array([0, len(key)]), mixing.ORDERS.index(len(key)))[-1]
+        for s, n in zip(symbols[owner == h], counts[owner == h]):
+            got[(*key, int(s))] += int(n)
+    assert got == count
+
+
 # --- tool calls -------------------------------------------------------------------
 
 LOG = "image_name string, seq int, kind string, edit_id string, after_id string, op string, body string, level string"
