@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
-from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,30 +62,23 @@ def is_photo(heif: bool = False) -> Column:
     return F.col("ext").isin(*exts) | F.coalesce(F.col("magic").isin(*known), F.lit(False))
 
 
-def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first 32 bytes of each file, null if it cannot be opened."""
-    for batch in batches:
-        heads = []
-        for path in batch.column("path").to_pylist():
-            try:
-                store, name = FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path))
-                with store.open_input_stream(name) as f:
-                    heads.append(f.read(32))
-            except (OSError, pa.ArrowInvalid):
-                heads.append(None)
-        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(heads, pa.binary())], ["path", "content"])
-
-
 def with_heads(files: DataFrame) -> DataFrame:
-    """Add the first 32 bytes of each file as ``content``; nothing else of it is read."""
-    heads = files.select("path").mapInArrow(_heads, "path string, content binary")
+    """Add the first 32 bytes of each file as ``content``; only these files are read, by Spark, and a failed read fails.
+
+    Their paths go through the driver, which lists the files of a folder in any case.
+    """
+    paths = sorted({re.sub(r"([\\\[\]{}*?])", r"\\\1", r.path) for r in files.select("path").toLocalIterator()})
+    if not paths:
+        return files.withColumn("content", F.lit(None).cast("binary"))
+    raw = files.sparkSession.read.format("binaryFile").load(paths)
+    heads = raw.select("path", F.substring("content", 1, 32).alias("content"))
     return files.drop("content").join(heads, "path")
 
 
 def read_photos(spark: SparkSession, folder: str, sniff: bool = True, heif: bool = False) -> DataFrame:
     """Photos of a folder, by extension or, when sniffing, by header.
 
-    Only files without a known extension are opened, for 32 bytes.
+    Only files without a known extension are opened; 32 bytes of them are kept.
     """
     exts = BASE_EXTENSIONS + (HEIF_EXTENSIONS if heif else ())
     listed = list_files(spark, folder).withColumns({"ext": extension("name"), "stem": stem("name")})

@@ -121,6 +121,24 @@ def test_only_unknown_extensions_are_opened(spark, tmp_path):
     assert got == {"a.jpg": None, "b.dat": "PNG"}
 
 
+def test_photos_with_unusual_names_are_sniffed(spark, tmp_path):
+    names = ["with space", "leaf#1", "leaf%41", "leaf[1]", "leaf{a,b}", "leaf?*", "back\\\\slash", "é"]
+    (tmp_path / "a #folder%20").mkdir()
+    for n in names:
+        (tmp_path / "a #folder%20" / n.replace("\\\\", "")).write_bytes(b"\x89PNG\r\n\x1a\n" + b"0" * 90)
+    (tmp_path / "a #folder%20" / "words here").write_bytes(b"no picture at all")
+    got = {r.photo_id: r.magic for r in PH.read_photos(spark, str(tmp_path / "a #folder%20")).collect()}
+    assert got == {n.replace("\\\\", ""): "PNG" for n in names}
+
+
+def test_a_failed_read_is_not_dropped(spark, tmp_path):
+    (tmp_path / "b.dat").write_bytes(b"\x89PNG\r\n\x1a\n" + b"0" * 90)
+    files = PH.list_files(spark, str(tmp_path)).localCheckpoint()
+    (tmp_path / "b.dat").unlink()
+    with pytest.raises(Exception):
+        PH.with_heads(files).collect()
+
+
 def test_workers_find_the_package_from_any_folder(tmp_path):
     code = (
         "import sys; sys.path.insert(0, %r)\n"
