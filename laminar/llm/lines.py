@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .store import discard, stored
 
 LINE = ["h1", "h2"]  # 128-bit fingerprint of a line
+LEAST_WORDS = 3  # in shorter lines one edit is no likeness
 
 
 def _lines(texts: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def _half_keys(least_words: int) -> str:
     return f"case when n >= {least_words} then array({', '.join(keys)}) end"
 
 
-def duplicate_lines(sidecars: DataFrame, least_words: int = 10) -> DataFrame:
+def duplicate_lines(sidecars: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Distinct lines with their earliest place and whether they go: ``first (image_id, line_no), n, near``.
 
     A line is near an earlier one if a single word was inserted, deleted or replaced; lines of fewer than
@@ -128,7 +129,7 @@ def duplicate_lines(sidecars: DataFrame, least_words: int = 10) -> DataFrame:
     )
 
 
-def drop_duplicate_lines(sidecars: DataFrame, least_words: int = 10) -> DataFrame:
+def drop_duplicate_lines(sidecars: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Remove lines of sidecar texts (``image_id, meta_text``) that repeat an earlier line or differ by one word.
 
     Lines are parted by line feeds and trimmed of spaces; words are parted by single spaces.  Earlier means smaller

@@ -147,7 +147,7 @@ select d.doc_id, coalesce(a.n_lines, 0) as n_lines, coalesce(a.n_dropped, 0) as
 def op3_line_dedup(spark, sf_dir):
     from .lines import drop_duplicate_lines
 
-    left = drop_duplicate_lines(sidecars(spark, sf_dir))
+    left = drop_duplicate_lines(sidecars(spark, sf_dir), least_words=10)  # as OP3_SQL has it
     return left.select(
         F.col("image_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("meta_text", 256).alias("text_sha256")
     )

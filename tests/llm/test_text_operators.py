@@ -193,6 +193,14 @@ def test_lines_match_plain_version(spark):
     assert got[72].n_lines == 1
 
 
+def test_short_lines_are_compared_as_shipped(spark):
+    nine = "a b c d e f g h i"
+    rows = [(1, "Tolyoued with by of nteres atre are."), (2, "Anat with by of nteres atre are."), (3, nine), (4, nine + " j"),
+            (5, "one two three"), (6, "one two four"), (7, "x y"), (8, "x z"), (9, "one two")]
+    got = {r.image_id: r.n_dropped for r in lines.drop_duplicate_lines(sidecars(spark, rows)).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0, 6: 1, 7: 0, 8: 0, 9: 0}
+
+
 def test_lines_edge_cases(spark):
     assert lines.drop_duplicate_lines(sidecars(spark, [])).count() == 0
     got = lines.drop_duplicate_lines(sidecars(spark, [(None, "a\na"), (1, "a\na"), (1, "a\na"), (2, "a")])).collect()
