@@ -244,3 +244,71 @@ def op2_tool_call_linking(spark, sf_dir):
         F.col("outcome_seq").alias("outcome_turn"), F.array_join("problems", ",").alias("problems"),
         F.sha2("message", 256).alias("message_sha256"),
     )
+
+
+OP11_SQL = f"""
+with recursive d as (select doc_id, regexp_extract_all({LOWER_SQL}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select distinct doc_id, md5(array_to_string(w[i:i+4], ' ')) as h
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 80 * (nx.n + ny.n - c)),
+e as (select x, y from l union all select y, x from l),
+r as (select doc_id as x, doc_id as y from d union select r.x, e.y from r join e on r.y = e.x)
+select d.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(r.y) as component_id
+from d join r on r.x = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id
+"""
+
+
+@query(OP11_SQL)
+def op11_ngram_jaccard_join(spark, sf_dir):
+    from .setjoin import similar_sidecars
+
+    found = similar_sidecars(sidecars(spark, sf_dir))
+    return found.select(F.col("image_id").alias("doc_id"), "n_shingles", "component_id")
+
+
+def _op12_sql() -> str:
+    parts = [
+        """kept as materialized (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * x::double) as bigint)) as p
+  from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64)""",
+        """c0 as materialized (select row_number() over (order by sha256('3:' || vec_id)) - 1 as c, p as q from kept
+  qualify row_number() over (order by sha256('3:' || vec_id)) <= 8)""",
+    ]
+    for i in range(11):
+        parts.append(
+            f"""a{i} as materialized (select r, vec_id, p, c, d from (select *, row_number() over (partition by r order by d, c) as k
+  from (select r, vec_id, p, c, list_sum(list_transform(list_zip(p, q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from kept, c{i})) where k = 1)"""
+        )
+        if i < 10:
+            parts.append(
+                f"""m{i} as materialized (select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by j) as q from (select c, j, sum(v) as s, count(*) as n
+  from (select c, unnest(p) as v, generate_subscripts(p, 1) as j from a{i}) group by c, j) group by c)"""
+            )
+            parts.append(f"c{i + 1} as materialized (select c{i}.c, coalesce(m{i}.q, c{i}.q) as q from c{i} left join m{i} on m{i}.c = c{i}.c)")
+    return (
+        "with " + ",\n".join(parts) + """
+select vec_id, a10.c::int as cluster, d as distance, (sum(d) over (partition by a10.c))::bigint as cluster_inertia,
+  (sum(d) over ())::bigint as inertia, sha256(array_to_string(q, ',')) as centroid_sha256 from a10 join c10 on c10.c = a10.c"""
+    )
+
+
+@query(_op12_sql())
+def op12_centroid_clustering(spark, sf_dir):
+    from .clusters import cluster_descriptors
+
+    leaves = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("leaf_id"), F.col("embedding").alias("curvature")
+    )
+    grouped = cluster_descriptors(leaves)
+    return grouped.select(
+        F.col("leaf_id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia",
+        F.sha2(F.array_join(F.transform("centroid", lambda v: v.cast("string")), ","), 256).alias("centroid_sha256"),
+    )
+
+
+@query()
+def op13_spelling_variants(spark, sf_dir):
+    from .spelling import spelling_variants
+
+    return spelling_variants(sidecars(spark, sf_dir), slip=97).select("word", "form", "root", "n", "n_near", "form_n")
