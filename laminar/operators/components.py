@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ship
 from .runs import SPAN, combine, keys_of, mask_not, merge
 
 BAND_ROWS = 1024
@@ -133,6 +133,7 @@ def components(runs: DataFrame, conn: int = 8) -> DataFrame:
     instead of labelling again.  Bands are joined up only if some picture
     is taller than one.
     """
+    ship(runs.sparkSession)
     reach = 1 if conn == 8 else 0
     keys = keys_of(runs)
     wide = F.greatest(F.abs("x0"), F.abs("x1")) >= STRIDE

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ship
 from . import components as C
 from .runs import SPAN, area, combine, dilate, ellipse_kernel, mask_or, merge, row_profile
 
@@ -42,6 +42,7 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def hull_vertices(runs: DataFrame) -> DataFrame:
     """Hull corners per leaf; only the two ends of each scan line travel."""
+    ship(runs.sparkSession)
     ends = row_profile(runs).select(
         "leaf_id", F.explode(F.array("left", F.col("right") - 1)).alias("px"), F.col("y").alias("py")
     )
