@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from .store import discard, stored
 
 LINE = ["h1", "h2"]  # 128-bit fingerprint of a line
+PLACE = ["image_id", "text_hash", "line_no"]  # texts that share an id are told apart by their hash
 LEAST_WORDS = 3  # in shorter lines one edit is no likeness
 
 
 def _lines(texts: DataFrame) -> DataFrame:
     """Every non-blank line with its place and fingerprint."""
-    split = texts.select("image_id", F.posexplode(F.split("meta_text", "\n")).alias("line_no", "line"))
+    split = texts.select(
+        "image_id", F.xxhash64("meta_text").alias("text_hash"), F.posexplode(F.split("meta_text", "\n")).alias("line_no", "line")
+    )
     trimmed = split.withColumn("line", F.trim("line")).where("line <> ''")
     return trimmed.select(
-        "image_id", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.col("line")).alias("h2")
+        *PLACE, "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.col("line")).alias("h2")
     )
 
 
@@ -36,7 +39,7 @@ def _half_keys(least_words: int) -> str:
 
 
 def duplicate_lines(sidecars: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Distinct lines with their earliest place and whether they go: ``first (image_id, line_no), n, near``.
+    """Distinct lines with their earliest place and whether they go: ``first (image_id, text_hash, line_no), n, near``.
 
     A line is near an earlier one if a single word was inserted, deleted or replaced; lines of fewer than
     ``least_words`` words are only compared for equality.
@@ -46,7 +49,7 @@ def duplicate_lines(sidecars: DataFrame, least_words: int = LEAST_WORDS) -> Data
         _lines(texts)
         .withColumn("words", F.split("line", " "))
         .withColumn("n", F.size("words"))
-        .select(*LINE, "n", F.struct("image_id", "line_no").alias("place"), F.expr(_half_keys(least_words)).alias("keys"))
+        .select(*LINE, "n", F.struct(*PLACE).alias("place"), F.expr(_half_keys(least_words)).alias("keys"))
         .select(*LINE, "n", "place", *[F.expr(f"keys[{i}]").alias(f"k{i}") for i in range(4)])
     )
     distinct = stored(
@@ -62,11 +65,11 @@ def duplicate_lines(sidecars: DataFrame, least_words: int = LEAST_WORDS) -> Data
     )
     met = halves.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     near_by = halves.join(met, "key", "left_semi").select("first").distinct()
-    spot = near_by.select(F.col("first.image_id").alias("image_id"), F.col("first.line_no").alias("line_no"))
+    spot = near_by.select("first.*")
     texts_of = stored(
         _lines(texts)
-        .join(spot, ["image_id", "line_no"], "left_semi")
-        .select(F.struct("image_id", "line_no").alias("first"), "line")
+        .join(spot, PLACE, "left_semi")
+        .select(F.struct(*PLACE).alias("first"), "line")
         .dropDuplicates(["first"]),
         "near-lines",
     )
@@ -133,7 +136,7 @@ def drop_duplicate_lines(sidecars: DataFrame, least_words: int = LEAST_WORDS) ->
     """Remove lines of sidecar texts (``image_id, meta_text``) that repeat an earlier line or differ by one word.
 
     Lines are parted by line feeds and trimmed of spaces; words are parted by single spaces.  Earlier means smaller
-    ``(image_id, line number)``.  A line goes if an earlier line equals it, or if it has ``least_words`` words or more
+    ``(image_id, hash of the text, line number)``; the hash only matters where an id has several texts.  A line goes if an earlier line equals it, or if it has ``least_words`` words or more
     and an earlier line of as many is one inserted, deleted or replaced word away.  Blank lines stay.
 
     Candidates come from a join of hashed deletion variants and are verified word by word.  Equal lines collapse before
@@ -148,16 +151,19 @@ def drop_duplicate_lines(sidecars: DataFrame, least_words: int = LEAST_WORDS) ->
     masks = (
         lines.where("not near")
         .select(
-            F.col("first.image_id").alias("image_id"),
+            "first.image_id",
+            "first.text_hash",
             F.expr("cast(first.line_no div 63 as int)").alias("block"),
             F.expr("shiftleft(1L, cast(first.line_no % 63 as int))").alias("bit"),
         )
-        .groupBy("image_id", "block")
+        .groupBy("image_id", "text_hash", "block")
         .agg(F.bit_or("bit").alias("mask"))
-        .groupBy("image_id")
+        .groupBy("image_id", "text_hash")
         .agg(F.map_from_entries(F.collect_list(F.struct("block", "mask"))).alias("_masks"))
     )
-    joined = sidecars.join(masks, "image_id", "left").withColumn("_lines", F.split("meta_text", "\n"))
+    masks = masks.withColumnsRenamed({"image_id": "_id", "text_hash": "_hash"})
+    own = (F.col("image_id") == F.col("_id")) & (F.xxhash64("meta_text") == F.col("_hash"))
+    joined = sidecars.join(masks, own, "left").withColumn("_lines", F.split("meta_text", "\n"))
     dense = joined.withColumn(
         "_dense", F.expr("transform(sequence(0, cast((size(_lines) - 1) div 63 as int)), b -> coalesce(_masks[b], 0L))")
     )

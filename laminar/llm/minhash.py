@@ -198,7 +198,10 @@ def near_duplicates(
     star = stored(led.where("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct(), "star")
     wanted = members.select("cls").distinct().join(classes, "cls").select("image_id").distinct()
     sets = stored(
-        texts.join(wanted.hint("merge"), "image_id", "left_semi").mapInArrow(_shingler(words), "cls binary, shingles binary"), "shingles"
+        texts.join(wanted.hint("merge"), "image_id", "left_semi")
+        .mapInArrow(_shingler(words), "cls binary, shingles binary")
+        .dropDuplicates(["cls"]),
+        "shingles",
     )
     linked = f"100 * common >= {percent} * (n_a + n_b - common)"
     compared = stored(_compare(star, sets), "compared")

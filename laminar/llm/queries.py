@@ -124,10 +124,10 @@ with recursive l as (
   from (select doc_id, string_split(text, chr(10)) as s from documents where text is not null)),
 u as (select line, min((doc_id, no)) as ord, string_split(line, ' ') as w from l where line <> '' group by line),
 v as (
-  select ord, -1 as gap, md5(array_to_string(w, ' ')) as key, len(w) as n from u where len(w) >= 10
+  select ord, -1 as gap, md5(array_to_string(w, ' ')) as key, len(w) as n from u where len(w) >= 3
   union all
   select ord, g, md5(array_to_string(list_concat(w[1:g], w[g+2:]), ' ')), len(w) - 1
-  from (select ord, w, unnest(range(0, len(w))) as g from u where len(w) >= 10)),
+  from (select ord, w, unnest(range(0, len(w))) as g from u where len(w) >= 3)),
 b as (select key, n, min(ord) filter (where gap < 0) as fu, min(ord) filter (where gap >= 0) as cu from v group by all having count(*) > 1),
 s as (select key, n, gap, min(ord) as su from v group by all),
 near as (select distinct v.ord from v join b using (key, n) join s using (key, n, gap)
@@ -147,7 +147,7 @@ select d.doc_id, coalesce(a.n_lines, 0) as n_lines, coalesce(a.n_dropped, 0) as
 def op3_line_dedup(spark, sf_dir):
     from .lines import drop_duplicate_lines
 
-    left = drop_duplicate_lines(sidecars(spark, sf_dir), least_words=10)  # as OP3_SQL has it
+    left = drop_duplicate_lines(sidecars(spark, sf_dir))
     return left.select(
         F.col("image_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("meta_text", 256).alias("text_sha256")
     )

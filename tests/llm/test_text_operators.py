@@ -92,6 +92,13 @@ def test_near_duplicates_edge_cases(spark):
     assert [(r.component_id, r.kept) for r in got if r.image_id is None] == [(None, True)] * 2
 
 
+def test_repeated_rows_are_compared_once(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(0, text)] * 1000 + [(1, text + " end")] * 1000 + [(2, "other words")] * 5
+    got = {(r.image_id, r.component_id, r.kept, r.n_links) for r in minhash.near_duplicates(sidecars(spark, rows)).collect()}
+    assert got == {(0, 0, True, 1), (1, 0, False, 1), (2, 2, True, 0)}
+
+
 def test_superminhash_estimates_overlap():
     rng = np.random.default_rng(5)
     pool = rng.integers(0, 2**63, 9000).astype(np.uint64)
@@ -205,6 +212,9 @@ def test_lines_edge_cases(spark):
     assert lines.drop_duplicate_lines(sidecars(spark, [])).count() == 0
     got = lines.drop_duplicate_lines(sidecars(spark, [(None, "a\na"), (1, "a\na"), (1, "a\na"), (2, "a")])).collect()
     assert sorted((r.image_id or 0, r.meta_text) for r in got) == [(0, "a\na"), (1, "a"), (1, "a"), (2, "")]
+    two = [(0, "alpha beta gamma"), (1, "new line of one text"), (1, "alpha beta gamma"), (2, "new line of one text")]
+    got = [(r.image_id, r.n_dropped) for r in lines.drop_duplicate_lines(sidecars(spark, two)).collect()]
+    assert sorted(got) == [(0, 0), (1, 0), (1, 1), (2, 1)]
 
 
 # --- tokens, shards, packing ---------------------------------------------------
