@@ -317,8 +317,8 @@ def gap_candidates(points: DataFrame, thresholds: DataFrame, merge_gap: int = 4,
     )
 
 
-def match_defects(gaps: DataFrame, points: DataFrame, defects: DataFrame, reach: float = 60.0, n: int = N_POINTS) -> DataFrame:
-    """Deepest convexity defect with a key point near each gap's arc.
+def deepest_defects(gaps: DataFrame, points: DataFrame, defects: DataFrame, reach: float = 60.0, n: int = N_POINTS) -> DataFrame:
+    """Deepest convexity defect, with its corners, that has a key point near each gap's arc.
 
     Defects and arcs meet on 60-pixel grid cells, not as all pairs.
     """
@@ -327,15 +327,23 @@ def match_defects(gaps: DataFrame, points: DataFrame, defects: DataFrame, reach:
     ).join(points.select("leaf_id", "i", "px", "py"), ["leaf_id", "i"])
     cell = lambda c: F.floor(F.col(c) / reach)
     arc = arc.withColumn("_cx", cell("px")).withColumn("_cy", cell("py"))
-    keyp = defects.select("leaf_id", "depth", F.explode(F.array(
+    corners = ("sx", "sy", "ex", "ey", "fx", "fy")
+    own = F.struct("depth", (-F.col("start_i")).alias("first"), *corners).alias("defect")
+    keyp = defects.select("leaf_id", own, F.explode(F.array(
         F.struct(F.col("sx").alias("x"), F.col("sy").alias("y")), F.struct(F.col("ex").alias("x"), F.col("ey").alias("y")),
-        F.struct(F.col("fx").alias("x"), F.col("fy").alias("y")))).alias("_k")).select("leaf_id", "depth", "_k.x", "_k.y")
+        F.struct(F.col("fx").alias("x"), F.col("fy").alias("y")))).alias("_k")).select("leaf_id", "defect", "_k.x", "_k.y")
     near = F.expr("sequence(-1, 1)")
     keyp = keyp.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near)).select(
-        "leaf_id", "depth", "x", "y", (cell("x") + F.col("_dx")).alias("_cx"), (cell("y") + F.col("_dy")).alias("_cy")
+        "leaf_id", "defect", "x", "y", (cell("x") + F.col("_dx")).alias("_cx"), (cell("y") + F.col("_dy")).alias("_cy")
     )
     hit = arc.join(keyp, ["leaf_id", "_cx", "_cy"]).where(F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y")) <= reach)
-    return hit.groupBy("leaf_id", "gap_id").agg(F.max("depth").alias("defect_depth"))
+    best = hit.groupBy("leaf_id", "gap_id").agg(F.max("defect").alias("_d"))
+    return best.select("leaf_id", "gap_id", F.col("_d.depth").alias("defect_depth"), *[f"_d.{c}" for c in corners])
+
+
+def match_defects(gaps: DataFrame, points: DataFrame, defects: DataFrame, reach: float = 60.0, n: int = N_POINTS) -> DataFrame:
+    """Depth of the deepest convexity defect near each gap's arc."""
+    return deepest_defects(gaps, points, defects, reach, n).select("leaf_id", "gap_id", "defect_depth")
 
 
 # Least depth and arc length of a gap by leaf morphology.
