@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import colour as K
+from ..session import ship
 from .runs import SPAN, combine, dilate, disk_kernel, keys_of, mask_not, merge, to_runs
 
 
@@ -222,38 +225,51 @@ def deeper_than(runs: DataFrame, frames: DataFrame, t: float) -> DataFrame:
     return combine({"_m": runs, "_g": grown}, "_m and not _g")
 
 
+def _deepest(runs: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
+    """Largest squared depth of each component, given its runs and its picture's size."""
+    out = []
+    for spans, height, width in zip(runs, h, w):
+        y, x0, x1 = np.array([(s["y"], s["x0"], s["x1"]) for s in spans], np.int64).T
+        # one pixel around the component, as far as the picture goes: the nearest outside pixel is always in there
+        top, left = max(0, y.min() - 1), max(0, x0.min() - 1)
+        rows, cols = min(height, y.max() + 2) - top, min(width, x1.max() + 1) - left
+        step = np.zeros((rows, cols + 1), np.int8)
+        np.add.at(step, (y - top, x0 - left), 1)
+        np.add.at(step, (y - top, x1 - left), -1)
+        inside = np.cumsum(step, axis=1, dtype=np.int8)[:, :cols] > 0
+        # columns: steps to the nearest outside pixel above or below
+        most = max(height, width)
+        kind = np.int32 if most < 30000 else np.int64
+        g = np.full((rows, cols), most, kind)
+        for order in (range(rows), range(rows - 1, -1, -1)):
+            run = np.full(cols, most, kind)
+            for r in order:
+                run = np.where(inside[r], np.minimum(run + 1, most), 0)
+                np.minimum(g[r], run, out=g[r])
+        # rows: the lowest of the parabolas over the columns, as far as any depth can still shrink
+        g *= g
+        d2, dx = g.copy(), 1
+        while dx < cols and dx * dx < d2.max():
+            np.minimum(d2[:, dx:], g[:, :-dx] + dx * dx, out=d2[:, dx:])
+            np.minimum(d2[:, :-dx], g[:, dx:] + dx * dx, out=d2[:, :-dx])
+            dx += 1
+        out.append(int(d2.max()))
+    return pd.Series(out, dtype="int64")
+
+
 def max_depth2(comp: DataFrame, frames: DataFrame) -> DataFrame:
-    """Largest squared depth of each component, without a cap.
+    """Largest squared depth of each 8-connected component, exact and without a cap.
 
-    A pixel is never deeper than its distance along the row, so it only asks
-    the rows within that reach; inside a component the answer is the minimum
-    over those rows.  Used on gap components, which are slim.
+    A separable transform in Arrow batches: steps within each column, then the lowest parabola along each row of the
+    component's box.  Only runs travel, one row per component, which the picture bounds.  The world beyond the picture is
+    not outside; a component that fills its picture is as deep as the longer side.
     """
-    keys = [k for k in keys_of(comp) if k != "comp"]
+    ship(comp.sparkSession)
+    keys = keys_of(comp)
     fkeys = [c for c in frames.columns if c not in ("h", "w")]
-    mask = comp.select(*keys, *SPAN)
-    sized = mask.join(frames, fkeys)
-    left = F.when(F.col("x0") > 0, F.col("x") - F.col("x0") + 1)
-    right = F.when(F.col("x1") < F.col("w"), F.col("x1") - F.col("x"))
-    rows = sized.select(*keys, "y", "x0", "x1", "h", "w", F.explode(F.expr("sequence(x0, x1 - 1)")).alias("x")).select(
-        *keys, "y", "x", "h", F.coalesce(F.least(left, right), F.greatest("h", "w")).alias("g")
-    )
-    reach = F.expr("sequence(-least(g - 1, y), least(g - 1, h - 1 - y))")
-    asks = rows.select(*keys, "y", "x", "g", F.explode(reach).alias("dy")).select(
-        *keys, "y", "x", "g", "dy", (F.col("y") + F.col("dy")).alias("yy")
-    )
-    known = rows.select(*keys, F.col("y").alias("yy"), "x", F.col("g").alias("gg"))
-    d2 = (
-        asks.join(known, [*keys, "yy", "x"], "left")
-        .groupBy(*keys, "y", "x")
-        .agg(F.min(F.least(F.col("g") * F.col("g"), F.coalesce(F.col("gg") * F.col("gg"), F.lit(0)) + F.col("dy") * F.col("dy"))).alias("d2"))
-    )
-    return (
-        d2.join(comp.select(*keys, *SPAN, "comp"), [*keys, "y"])
-        .where("x >= x0 and x < x1")
-        .groupBy(*keys, "comp")
-        .agg(F.max("d2").cast("long").alias("max_d2"))
-    )
+    rows = comp.groupBy(*keys).agg(F.collect_list(F.struct(*SPAN)).alias("_runs")).join(frames, fkeys)
+    deepest = F.pandas_udf(_deepest, "long")
+    return rows.select(*keys, deepest("_runs", "h", "w").alias("max_d2"))
 
 
 # --------------------------------------------------------------------------

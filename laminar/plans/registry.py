@@ -28,4 +28,4 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Import every module that registers queries."""
-    from . import q_contour, q_detect, q_edit, q_flow, q_gaps, q_masks, q_shapes, q_tables  # noqa: F401
+    from . import q_bites, q_contour, q_detect, q_edit, q_flow, q_gaps, q_masks, q_shapes, q_tables  # noqa: F401
