@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .store import stored
 from .text import slices
 from .tokens import encoder
@@ -149,6 +150,7 @@ def write_shards(sidecars: DataFrame, tokenizer_file: str, planes: str = "byte")
     part.  Spark's committer places the rows, so a lost or repeated task leaves no half-written shard.  An empty table
     gives no shard; further columns are ignored.
     """
+    ship(sidecars.sparkSession)
     ordered = (
         sidecars.select(F.col("image_id").cast("long").alias("image_id"), "meta_text")
         .withColumn("tie", F.xxhash64("meta_text"))
@@ -187,6 +189,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
 
     One total per written partition goes through the driver; ids stay in the tasks.
     """
+    ship(shards.sparkSession)
     totals = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
     starts, at = {}, 0
     for row in totals:

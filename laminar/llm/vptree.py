@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .store import stored
 
 SAMPLE = 8192  # vectors that the shard boundaries are fitted on, about
@@ -186,8 +187,10 @@ def nearest_leaves(leaves: DataFrame, queries: DataFrame, k: int = 20, factor: f
     search.
 
     Returns ``query_id, rank`` (from 1)``, leaf_id, score``, ties to the smaller id.  Rows that repeat an id count once
-    if the descriptor is the same.  Empty tables give an empty result; further columns are ignored.
+    if the descriptor is the same; a query id with several descriptors asks with the smallest.  Empty tables give an empty
+    result; further columns are ignored.
     """
+    ship(leaves.sparkSession)
 
     def sound(df: DataFrame) -> DataFrame:
         wide = df.where("leaf_id is not null and curvature is not null").select(
@@ -225,7 +228,10 @@ def nearest_leaves(leaves: DataFrame, queries: DataFrame, k: int = 20, factor: f
     if drawn.empty:
         drawn = points.limit(1).toPandas()
     sample = _matrix(drawn["curvature"])
-    firsts = [list(i) for i in drawn["leaf_ids"]]
+    alone: dict[int, list[int]] = {}
+    for c, ids in enumerate(drawn["leaf_ids"]):
+        if len(ids) == 1:
+            alone.setdefault(int(ids[0]), []).append(c)
     cells = Cells(lifted(sample, largest), max(1, -(-total // SHARD_ROWS)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,10 +251,8 @@ def nearest_leaves(leaves: DataFrame, queries: DataFrame, k: int = 20, factor: f
             q = _matrix(batch.column("curvature").to_pylist())
             own = batch.column("leaf_id").to_numpy()
             score = q @ sample.T
-            for r in range(len(q)):  # a sampled vector held only by the query itself is no candidate
-                for c in np.flatnonzero(score[r] >= score[r].max() - 1e-9):
-                    if firsts[c] == [own[r]]:
-                        score[r, c] = -np.inf
+            for r, name in enumerate(own.tolist()):  # a sampled vector held only by the query itself is no candidate
+                score[r, alone.get(name, [])] = -np.inf
             reach = np.full(len(q), np.inf)
             if score.shape[1] > k:
                 kth = np.partition(score, -k, axis=1)[:, -k]
@@ -265,7 +269,7 @@ def nearest_leaves(leaves: DataFrame, queries: DataFrame, k: int = 20, factor: f
 
     placed = points.select("leaf_ids", "curvature").mapInArrow(place, "cell int, leaf_ids array<long>, curvature array<double>")
     placed = stored(placed, "placed")
-    asked = sound(queries).where(same).dropDuplicates(["leaf_id"])
+    asked = sound(queries).where(same).groupBy("leaf_id").agg(F.min("curvature").alias("curvature"))
     sent = stored(
         asked.mapInArrow(route, "cell int, query_id long, curvature array<double>, reach double"), "routed"
     )

@@ -1,5 +1,9 @@
 """Nearest descriptors against brute force, and the pipeline against a plain version of its stages."""
 
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 
@@ -50,6 +54,41 @@ def test_few_candidates_and_empty_tables(spark):
     assert vptree.nearest_leaves(alone, alone, k=3).count() == 0
 
 
+def test_repeated_ids_ask_with_the_smallest_descriptor(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).round(3).tolist()) for i in range(200)]
+    twice = [(i, rng.normal(size=4).round(3).tolist()) for i in range(0, 200, 10)]
+    table = frame(spark, rows + twice + rows[:40])
+    got = {}
+    for r in vptree.nearest_leaves(table, table.where("leaf_id % 10 = 0"), k=5, factor=1.0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.leaf_id, round(r.score, 9)))
+    for i, other in twice:
+        asked = min(rows[i][1], other)
+        scores = {}
+        for j, v in rows + twice:
+            if j != i:
+                scores.setdefault(j, []).append(float(np.dot(asked, v)))
+        near = sorted((-s, j) for j, all_of in scores.items() for s in all_of)[:5]
+        assert [(j, s) for _, j, s in sorted(got[i])] == [(j, round(-s, 9)) for s, j in near]
+
+
+def test_package_reaches_workers_of_operators_called_first(tmp_path):
+    """From another folder, without the queries: each operator with Python workers on a table of its own."""
+    code = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from laminar.llm import minhash
+texts = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "image_id long, meta_text string")
+print("rows", minhash.near_duplicates(texts).count())
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code, root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "rows 2" in done.stdout, done.stderr[-2000:]
+
+
 def test_relaxed_search_finds_most(spark):
     rng = np.random.default_rng(4)
     points = rng.normal(size=(1500, 64))
